@@ -1,7 +1,8 @@
 """Exact tokenisation with the tokenizers library, with a bounded memory of words already seen.
 
-Both kinds of tokenizer below never join characters across a single space into one token, so a text may be
-cut there and its parts looked up. A tokenizer of another kind is called on whole texts.
+A text is cut where the tokenizer always cuts as well, at spaces and line ends, and each distinct word is encoded
+once. New words of plain letters, and marks after them, go to the library's BPE model directly; whatever is
+not plain goes through the whole tokenizer. A tokenizer of another kind is called on whole texts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,22 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words remembered by a Python worker (two generations of this many, about 200 bytes each).
-MEMORY = 150_000
+MEMORY = 300_000
+#: Three white-space characters together, or two at the end: the only runs that are not cut into single ones.
+_RUN = re.compile(r"\s\s(?:\s|\Z)")
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level spelling of the letters beyond ASCII in _PLAIN."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    spelling = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(spelling[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_SPELLING = _byte_letters()
 
 
 def kind_of(spec: dict) -> str:
@@ -42,12 +58,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.kind = kind_of(json.loads(spec))
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """The ids of words that have not been seen, each with `lead` before it (or the line end it begins with)."""
+        out, rest = {}, []
+        spaced, tokenize, plain, marks = self.kind == "spaced", self.model.tokenize, _PLAIN.fullmatch, self.marks
+        for w in words:
+            core = w.rstrip(_MARKS)
+            tail = w[len(core) :]
+            line = core[:1] == "\n"
+            if line:
+                core = core[1:]
+            if len(marks) > 10_000:
+                marks.clear()
+            if not plain(core) or line and not spaced:
+                rest.append(w)
+                continue
+            spelt = core if core.isascii() else core.translate(_SPELLING) if spaced else core.lower().translate(_SPELLING)
+            spelt = (spelt if line or not lead else "\u0120" + spelt) if spaced else spelt.lower() if core.isascii() else spelt
+            ids = np.array([t.id for t in tokenize(spelt)], "<u4").tobytes()
+            if tail:
+                if tail not in marks:
+                    marks[tail] = self._encode([tail])[0]
+                ids += marks[tail]
+            out[w] = self.line + ids if line else ids
+        if rest:
+            out.update(zip(rest, self._encode([w if w[:1] == "\n" else lead + w for w in rest]), strict=True))
+        return out
+
     def _learn(self, missing: list[str], lead: str) -> None:
         if len(self.words) > MEMORY:
             self.older, self.words = self.words, {}
@@ -58,42 +104,38 @@ class Encoder:
                 new.append(w)
             else:
                 self.words[w] = got
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            self.words.update(zip(part, self._encode([lead + w for w in part]), strict=True))
+        self.words.update(self._new(new, lead))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self.kind == "whole":
             return self._encode(texts)
-        lead = " " if self.kind == "spaced" else ""
         out: list[bytes] = [b""] * len(texts)
-        whole, split = [], []
-        for i, t in enumerate(texts):
-            if lead and "  " in t:  # a run of spaces is a token of its own
-                whole.append(i)
-            else:
-                split.append((i, t.split(" ")))
-        if lead:
-            whole_texts = [texts[i] for i in whole]
-            firsts = self._encode([p[0] for _, p in split])
-            for i, ids in zip(whole, self._encode(whole_texts), strict=True):
+        if self.kind == "spaced":
+            whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
+            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
                 out[i] = ids
-        missing: list[str] = []
-        seen = self.words
-        for _, parts in split:
-            missing += [w for w in parts if w not in seen]
+            left = set(whole)
+            split = [(i, t.replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if i not in left]
+            lead = " "
+        else:
+            split = [(i, t.replace("\n", " ").split(" ")) for i, t in enumerate(texts)]
+            lead = ""
+        get = self.words.get
+        known = [list(map(get, parts)) for _, parts in split]
+        gaps = [[k for k, ids in enumerate(row) if ids is None] for row in known]
+        missing = [split[r][1][k] for r, row in enumerate(gaps) for k in row]
         if missing:
             self._learn(missing, lead)
-        get = self.words.get
+            new = self.words
+            for r, row in enumerate(gaps):
+                parts, ids = split[r][1], known[r]
+                for k in row:
+                    ids[k] = new[parts[k]]
         for k, (i, parts) in enumerate(split):
-            try:
-                ids = b"".join(map(get, parts[1:] if lead else parts))
-            except TypeError:  # learning has begun a new generation meanwhile
-                self._learn([w for w in parts if w not in self.words], lead)
-                get = self.words.get
-                ids = b"".join(map(get, parts[1:] if lead else parts))
-            out[i] = firsts[k] + ids if lead else ids
+            if lead:  # nothing stands before the first
+                known[k][0] = self._new([parts[0]], "")[parts[0]]
+            out[i] = b"".join(known[k])
         return out
 
 
