@@ -5,13 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weir.llm import packing, token_files, tokens
+from weir.llm import decontaminate, html_extract, licenses, packing, quality, simhash, tiff, token_files, tokens, toxicity, url_filter
 from weir.llm.shared import read_table, scratch
 
 SEQUENCE = 2048
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_as_tiff(read_table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlap(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / language / id."""
+    docs = read_table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(files).select("doc_id", "path", "own_license", "own_score", "license", "inherited_from")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"), tokens.default_path("word_bpe_49k.json"), SEQUENCE)
     return packing.pack(pieces, SEQUENCE)
@@ -24,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_html_text, op2_tiff_media, op3_quality, op4_decontamination, op5_license_scan, op6_simhash, op7_toxicity, op8_best_fit_packing, op9_url_filter, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
