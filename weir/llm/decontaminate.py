@@ -5,7 +5,7 @@ test suffix of every item in it, all at once, one word deeper at a time. What re
 range after its last matching word is its longest verbatim match, with all locations; the range at the
 window's depth is every occurrence of that window. Nothing is shuffled, and no shard depends on another.
 
-Only suffixes whose first two words (the first, if some item has a single word) begin some test suffix can
+Only suffixes whose first two words (the first, if a window has a single word) begin some test suffix can
 match at all, so only those are sorted: the answers are the same as over all suffixes.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null text has no words; so has an
@@ -71,7 +71,7 @@ class Items:
         width = np.minimum(lengths, self.window)
         self.is_window = self.room >= np.repeat(width, lengths)
         self.width = np.repeat(width, lengths)
-        first = 2 if self.shortest >= 2 else 1
+        first = 2 if min(self.shortest, self.window) >= 2 else 1
         heads = self.suffixes[self.room >= first]
         self.first, self.base = first, len(self.vocabulary) + 1
         self.heads = np.unique(self.codes[heads] * self.base + self.codes[heads + 1] if first == 2 else self.codes[heads])

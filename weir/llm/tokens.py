@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words remembered by a Python worker (two generations of this many, about 200 bytes each).
-MEMORY = 300_000
+MEMORY = 600_000
 #: Three white-space characters together, or two at the end: the only runs that are not cut into single ones.
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 _PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -48,6 +50,9 @@ def kind_of(spec: dict) -> str:
     return "whole"
 
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
+
 class Encoder:
     """Texts to the ids that encode(text, add_special_tokens=False) gives, as little-endian uint32 bytes.
 
@@ -84,7 +89,7 @@ class Encoder:
                 continue
             spelt = core if core.isascii() else core.translate(_SPELLING) if spaced else core.lower().translate(_SPELLING)
             spelt = (spelt if line or not lead else "\u0120" + spelt) if spaced else spelt.lower() if core.isascii() else spelt
-            ids = np.array([t.id for t in tokenize(spelt)], "<u4").tobytes()
+            ids = array("I", [t.id for t in tokenize(spelt)]).tobytes()
             if tail:
                 if tail not in marks:
                     marks[tail] = self._encode([tail])[0]
