@@ -286,18 +286,18 @@ def test_trees_walk_like_plain_trees():
     assert np.allclose(model.scores(x[:50]), [one(r) for r in x[:50]])
 
 
-def test_swapped_identities_move_the_score_less():
+def test_swapped_identities_move_the_score_less(spark):
     rng = random.Random(1)
     filler = ["plain", "words", "here", "and", "there", "some"]
-    docs, y = [], []
+    docs, labels = [], []
     for i in range(400):  # one group happens to be named mostly in toxic texts
         toxic = i % 2
-        own = {rng.choice(filler), rng.choice(filler), "muslims" if rng.random() < (0.8 if toxic else 0.1) else "christians"} | ({"idiot"} if toxic and rng.random() < 0.7 else set())
-        docs.append(own)
-        y.append(float(toxic))
-    y = np.array(y)
+        own = [rng.choice(filler), rng.choice(filler), "Muslims" if rng.random() < (0.8 if toxic else 0.1) else "christians", *(["idiot"] if toxic and rng.random() < 0.7 else [])]
+        docs.append((i, " ".join(own)))
+        labels.append((i, toxic))
+    tables = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
     gap = lambda m: abs(m.score("plain words about muslims") - m.score("plain words about christians"))
-    without, with_ = toxicity.fit(docs, y, swap=0.0), toxicity.fit(docs, y, swap=5.0)
+    without, with_ = toxicity.train(*tables, swap=0.0), toxicity.train(*tables, swap=5.0)
     assert gap(without) > 0.3 and gap(with_) < 0.1 < with_.score("you idiot") - with_.score("you there")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.shared import fold, labelled_sample, map_arrow
+from weir.llm.shared import fold, labelled_sample, map_arrow, written
 
 #: Labelled documents of each class that the weights are fitted on, at most.
 PER_CLASS = 6000
@@ -78,25 +78,19 @@ def swapped(own: set[str], groups: list[list[str]], step: int) -> set[str] | Non
     return out
 
 
-def select(docs: list[set[str]], y: np.ndarray, features: int, least: int = 3) -> list[str]:
-    """Features that tell the classes apart: by log-likelihood ratio of their presence, `least` documents or more."""
-    counts = (Counter(), Counter())
-    for own, label in zip(docs, y, strict=True):
-        counts[int(label)].update({p for w in own for p in parts(w)})
-    n = np.array([float((y == 0).sum()), float((y == 1).sum())])
-    names = sorted(k for k in counts[0].keys() | counts[1].keys() if counts[0][k] + counts[1][k] >= least)
-    if not names or not n.all():
-        return []
-    k = np.array([[counts[0][w], counts[1][w]] for w in names], "f8")
-    p, p0 = k / n, k.sum(1, keepdims=True) / n.sum()
+def _loss(k: Column, n: int, p: Column) -> Column:
+    q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    return k * F.log(q) + (F.lit(n) - k) * F.log(1 - q)
 
-    def loss(p):
-        q = np.clip(p, 1e-9, 1 - 1e-9)
-        return (k * np.log(q) + (n - k) * np.log(1 - q)).sum(1)
 
-    ratio = loss(p) - loss(np.broadcast_to(p0, p.shape))
-    order = np.argsort(-ratio, kind="stable")[:features]
-    return [names[i] for i in order if ratio[i] > 6.0]
+def select(counts: DataFrame, n0: int, n1: int, features: int = 1500, least: int = 3) -> list[str]:
+    """Features that tell the classes apart, of counts (part, k0, k1: documents of each class): by log-likelihood ratio of
+    their presence, `least` documents or more. Only the chosen ones come to the driver."""
+    k0, k1 = F.col("k0").cast("double"), F.col("k1").cast("double")
+    p = (k0 + k1) / (n0 + n1)
+    ratio = _loss(k0, n0, k0 / n0) + _loss(k1, n1, k1 / n1) - _loss(k0, n0, p) - _loss(k1, n1, p)
+    best = counts.where(k0 + k1 >= least).select("part", F.round(ratio, 9).alias("ratio")).where("ratio > 6").orderBy(F.col("ratio").desc(), "part").limit(features)
+    return [r["part"] for r in best.collect()]
 
 
 def _largest(x: np.ndarray) -> float:
@@ -114,29 +108,25 @@ def _largest(x: np.ndarray) -> float:
     return size
 
 
-def fit(docs: list[set[str]], y: np.ndarray, groups: list[list[str]] = IDENTITY, features: int = 1500, ridge: float = 2e-4, swap: float = 1.0, steps: int = 400, empty: float = 0.0) -> Model:
+def fit(names: list[str], docs: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], ridge: float = 2e-4, swap: float = 1.0, steps: int = 400, empty: float = 0.0) -> Model:
     """Weights by accelerated gradient descent on mean log loss + ridge |w|^2 + swap * mean (change of score on swapping)^2.
 
-    Without rows, or with one class only, there is nothing to tell apart: every score is the class's share (`empty` without rows).
+    docs: each one's features, as places in names; pairs: features of a document and of its swapped twin. Without
+    rows, or with one class only, there is nothing to tell apart: every score is the class's share (`empty` without rows).
     """
     n = len(docs)
     share = min(max((float(y.sum()) + 0.5) / (n + 1) if n else empty, 1e-6), 1 - 1e-6)
     if not n or y.min() == y.max():
         return Model({}, float(np.log(share / (1 - share))))
-    chosen = select(docs, y, features)
-    terms = {w for g in groups for w in g}
-    present = Counter(w for own in docs for w in own & terms)
-    at = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *sorted(present)]))}
 
-    def rows(sets: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(at) + 1), "f4")
+    def rows(listed: list[list[int]]) -> np.ndarray:
+        x = np.zeros((len(listed), len(names) + 1), "f4")
         x[:, -1] = 1
-        for r, own in enumerate(sets):
-            x[r, [at[p] for w in own for p in parts(w) if p in at]] = 1
+        for r, own in enumerate(listed):
+            x[r, own] = 1
         return x
 
     x = rows(docs)
-    pairs = [(own, other) for k, own in enumerate(docs) for step in (1, 2 + k % 5) if (other := swapped(own, groups, step)) is not None]
     change = rows([a for a, _ in pairs]) - rows([b for _, b in pairs])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5  # half way to balanced classes
     w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
@@ -149,23 +139,52 @@ def fit(docs: list[set[str]], y: np.ndarray, groups: list[list[str]] = IDENTITY,
             g += 2 * swap * (change.T @ (change @ v)) / len(pairs)
         new = v - g / top
         w, v = new, new + k / (k + 3) * (new - w)
-    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, float(w[-1]))
+    return Model({f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 1e-6}, float(w[-1]))
 
 
 def train_fold(doc_id: str = "doc_id") -> Column:
     return fold(doc_id, 5) != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", in_fold: Column | None = None, per_class: int = PER_CLASS, groups: list[list[str]] = IDENTITY) -> Model:
-    """A model from the labelled sample; what comes to the driver is the sample's distinct words."""
-    sample = labelled_sample(docs, labels, label, train_fold() if in_fold is None else in_fold, per_class)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", in_fold: Column | None = None, per_class: int = PER_CLASS, groups: list[list[str]] = IDENTITY, swap: float = 1.0) -> Model:
+    """A model from the labelled sample. Features are counted and chosen on the executors; the driver gets, by document, which of them it has."""
+    sample = labelled_sample(docs, labels, label, train_fold() if in_fold is None else in_fold, per_class).select("doc_id", "text", "label")
+    sample = written(map_arrow(sample, "doc_id long, label int, words string", _distinct_words), "sample")
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    terms = sorted({w for g in groups for w in g})
+    names: list[str] = []
+    if sizes.get(0) and sizes.get(1):
+        counts = map_arrow(sample, "part string, k0 long, k1 long", _counted).groupBy("part").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
+        present = {r["part"] for r in counts.where(F.col("part").isin(terms)).select("part").collect()}
+        names = list(dict.fromkeys([*select(counts, sizes[0], sizes[1]), *sorted(present)]))
+    at = {f: i for i, f in enumerate(names)}
+
+    def places(own: set[str]) -> list[int]:
+        return sorted({at[p] for w in own for p in parts(w) if p in at})
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([" ".join(sorted(words(t))) for t in batch.column(1).to_pylist()])], ["doc_id", "label", "words"])
+        held, twins = [], []
+        for doc, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = set(own.split())
+            held.append(places(own))
+            twins.append([places(other) for step in (1, 2 + doc % 5) if (other := swapped(own, groups, step)) is not None])
+        ints = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, ints), pa.array(twins, pa.list_(ints))], ["doc_id", "label", "own", "twins"])
+
+    got = sorted(map_arrow(sample, "doc_id long, label int, own array<int>, twins array<array<int>>", rows).collect(), key=lambda r: (r["doc_id"], r["own"]))
+    return fit(names, [r["own"] for r in got], np.array([r["label"] for r in got], "f8"), [(r["own"], t) for r in got for t in r["twins"]], swap=swap)
+
+
+def _distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([" ".join(sorted(words(t))) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "label", "words"])
+
 
-    got = map_arrow(sample.select("doc_id", "text", "label"), "doc_id long, label int, words string", rows).toPandas()
-    got = got.sort_values(["doc_id", "words"])
-    return fit([set(t.split()) for t in got["words"]], got["label"].to_numpy("f8"), groups)
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for label, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        counts[label].update({p for w in own.split() for p in parts(w)})
+    names = sorted(counts[0].keys() | counts[1].keys())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[0][w] for w in names], pa.int64()), pa.array([counts[1][w] for w in names], pa.int64())], ["part", "k0", "k1"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
