@@ -155,7 +155,7 @@ class Scope:
         spark = T.SPARK[kind]
         x, y = a.col.cast(spark), b.col.cast(spark)
         if self.wrap and kind in (T.UINT, T.INT, T.ULLONG) and e.op in "+-*":
-            x, y = (c.cast("decimal(38,0)" if kind == T.ULLONG else "bigint") for c in (a.col, b.col))
+            x, y = (c.cast("decimal(20,0)") for c in (a.col, b.col))
         if e.op in ("<<", ">>"):
             n = b.col.cast("int")
             base = a.col.cast("bigint") if kind != T.INT else a.col.cast("int")

@@ -34,7 +34,9 @@ class Stream:
         kinds = kinds or {}
         known = {c: T.named(kinds[c]) if c in kinds else T.from_spark(t) for c, t in df.dtypes}
         known = {c: k for c, k in known.items() if k}
-        df = df.select(*(F.col(c).cast(T.SPARK[k]).alias(c) if dict(df.dtypes)[c] != T.SPARK[k] else F.col(c) for c, k in known.items()))
+        have = dict(df.dtypes)
+        as_typed = lambda c, k: F.col(f"`{c}`") if have[c] == T.SPARK[k] else F.timestamp_micros(T.micros(F.col(f"`{c}`"))) if have[c] == "timestamp_ntz" else F.col(f"`{c}`").cast(T.SPARK[k])
+        df = df.select(*(as_typed(c, k).alias(c) for c, k in known.items()))
         return Stream(df, known, {**dict.fromkeys(increasing, T.INCREASING), **dict.fromkeys(decreasing, T.DECREASING)}, **more)
 
 

@@ -34,6 +34,14 @@ def from_spark(kind: str) -> str | None:
     return FLOAT if kind.startswith("decimal") and not kind.endswith(",0)") else ULLONG if kind.startswith("decimal") else _FROM_SPARK.get(kind)
 
 
+def micros(value: Column, kind: str = "timestamp_ntz") -> Column:
+    """Microseconds since 1970 of a timestamp; one without a zone counts as UTC, whatever the session's zone is."""
+    if kind == "timestamp":
+        return F.unix_micros(value)
+    since = (value - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")).cast("interval second")
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
+
+
 def empty(kind: str) -> Column:
     """What stands for a value that isn't there: the language has no null."""
     if kind == IPV6:
