@@ -125,7 +125,6 @@ def parse(html: str | None) -> Node:
                         del stack[k:]
                     elif stack[k].tag in until:
                         break
-                    stack = stack
             node = _element(tag, m[3] or "")
             stack[-1].children.append(node)
             if tag in RAW and not m[0].endswith("/>"):
@@ -219,8 +218,8 @@ def _size(node: Node) -> int:
     return sum(len(b) for b, _ in blocks(node, None))
 
 
-def blocks(node: Node, wrapper: list | None, differing: bool = False) -> list[tuple[str, bool]]:
-    """The texts of the element's blocks in page order, without noise; and whether each lies in a link."""
+def blocks(node: Node, wrapper: list | None, differing: bool = False, inside: bool = True) -> list[tuple[str, bool]]:
+    """The texts of the element's blocks in page order, without noise; and whether each lies in a link. inside: of an article, whose header stays."""
     out: list[tuple[str, bool]] = []
     parts: list[tuple[str, bool]] = []
 
@@ -243,7 +242,7 @@ def blocks(node: Node, wrapper: list | None, differing: bool = False) -> list[tu
                     parts.append((c, link))
             elif c.tag == "br":
                 parts.append((" ", link))
-            elif not _noise(c, True):
+            elif not _noise(c, inside):
                 walk(c, w[4].get(c.shape) if w else None, link or c.tag == "a")
             elif c.tag in BLOCK:
                 flush()
@@ -255,11 +254,11 @@ def blocks(node: Node, wrapper: list | None, differing: bool = False) -> list[tu
     return out
 
 
-def _densest(node: Node, wrapper: list | None) -> Node:
+def _densest(node: Node, wrapper: list | None, inside: bool) -> Node:
     """Without a declared article: the deepest element that holds most of the text outside links and fixed texts."""
 
     def weight(n: Node, w: list | None) -> int:
-        return sum(len(t) for t, linked in blocks(n, w, True) if not linked)
+        return sum(len(t) for t, linked in blocks(n, w, True, inside) if not linked)
 
     total = weight(node, wrapper)
     while total:
@@ -285,13 +284,15 @@ def _below(wrapper: list | None, root: Node, wanted: Node) -> list | None:
 
 
 def _slots(w: list) -> bool:
-    return w[3] == 0 or any(_slots(c) for c in w[4].values())
+    """Whether texts differ between pages (those of repeated elements may differ within one)."""
+    return w[3] == 0 or any(_slots(c) for c in w[4].values() if not c[2])
 
 
 def extract(html: str | None, wrapper: list | None = None) -> str:
     """The main text: blocks in page order, joined by two line ends; empty if there is none."""
     root = parse(html)
     mains = _mains(root)
+    declared = None
     if mains:
         most = max(_size(m) for m in mains)
         chosen = [m for m in mains if _size(m) == most][:1] if len(mains) > 1 else mains
@@ -299,11 +300,11 @@ def extract(html: str | None, wrapper: list | None = None) -> str:
             chosen = [m for m in mains if _size(m) >= 0.25 * most]
     else:
         declared = _find(root, lambda n: n.tag == "main" or n.role == "main")
-        chosen = [_densest(declared or root, _below(wrapper, root, declared) if declared and wrapper else wrapper)]
+        chosen = [_densest(declared or root, _below(wrapper, root, declared) if declared and wrapper else wrapper, declared is not None)]
     out = []
     for m in chosen:
         own = _below(wrapper, root, m) if wrapper else None
-        found = blocks(m, own, bool(own and own[1] >= 3 and _slots(own)))
+        found = blocks(m, own, bool(own and own[1] >= 3 and _slots(own)), bool(mains) or declared is not None)
         if not mains:  # lists of links around the text
             found = [b for b in found if not b[1]]
         out += [t for t, _ in found]
@@ -355,23 +356,11 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
         if held:
             yield hand_on()
 
-    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, out = None, None
-        for batch in batches:
-            for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = json.loads(w)
-                if out is None:
-                    host, out = h, new
-                else:
-                    _align(out, new)
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([_dump(out)])], ["host", "wrapper"])
-
     own = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
     parts = own.mapInArrow(first, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "salt")
-    joined = salted.applyInArrow(lambda t: _joined(t), "host string, wrapper string")
-    return joined.groupBy("host").applyInArrow(lambda t: _joined(t), "host string, wrapper string")
+    joined = salted.applyInArrow(_joined, "host string, wrapper string")
+    return joined.groupBy("host").applyInArrow(_joined, "host string, wrapper string")
 
 
 def _joined(table: pa.Table) -> pa.Table:
