@@ -1,4 +1,7 @@
-"""The language: syntax, types, temporality, goldens."""
+"""The language: syntax, types, temporality, results on small feeds."""
+
+import operator
+from functools import reduce
 
 import pytest
 
@@ -8,10 +11,10 @@ from weir.plans.lower import grouping_patterns
 from weir.session import Engine
 
 SCHEMAS = """
-PROTOCOL base { uint systemTime get_system_time (low_cardinality, required, increasing, snap_len 0); }
-PROTOCOL CSV_COMPLEX_1 (base) { string strField1 get_csv_string_pos1; string strField2 get_csv_string_pos2; uint intField get_csv_uint_pos3; }
-PROTOCOL CSV_TEST_PREDICATES (base) { int intField get_csv_int_pos1; bool boolField get_csv_bool_pos2; string strField1 get_csv_string_pos3; string strField2 get_csv_string_pos4; }
-""" + "".join(f"PROTOCOL KV_{t} (base) {{ {t} Key get_csv_{t.lower()}_pos1; {t} Value get_csv_{t.lower()}_pos2; }}\n" for t in "bool float int IP IPV6 llong string uint ullong ushort".split())
+PROTOCOL arrivals { uint seen get_system_time (required, increasing); }
+PROTOCOL WORDS (arrivals) { string first get_csv_string_pos1; string second get_csv_string_pos2; uint n get_csv_uint_pos3; }
+PROTOCOL MIXED (arrivals) { int n get_csv_int_pos1; bool flag get_csv_bool_pos2; string left get_csv_string_pos3; string right get_csv_string_pos4; }
+""" + "".join(f"PROTOCOL KV_{t} (arrivals) {{ {t} Key get_csv_{t.lower()}_pos1; {t} Value get_csv_{t.lower()}_pos2; }}\n" for t in "bool float int IP IPV6 llong string uint ullong ushort".split())
 
 
 @pytest.fixture
@@ -26,7 +29,7 @@ def feed(engine, tmp_path, lines, separator="|"):
     path = tmp_path / "in.txt"
     path.write_text("\n".join(lines) + "\n")
     engine.register_interface("csv0", "CSV", Path=str(path), CSVSeparator=separator, InterfaceType="CSV")
-    engine.catalog.add_sets("csv : Contains[InterfaceType,CSV] and Equals[Host,'localhost']")
+    engine.catalog.add_sets("csv : Equals[Host,'localhost'] and Contains[InterfaceType,CSV]")
 
 
 def lines_of(stream):
@@ -35,79 +38,94 @@ def lines_of(stream):
     return sorted(r.value for r in text_lines(stream).collect())
 
 
-JOIN_INPUT = "ABC|CSV|17 ABC|VSC|21 ABC|xyz|18 ZYX|DEF|21 XYZ|DEF|11 abc|DEF|19 abc|def|15 CSV|abc|16 HHH|BBC|20 abc|def|19".split()
-JOIN = "select A.systemTime, A.strField1, A.strField2, A.intField, B.strField1, B.strField2, B.intField {} from complex_A A, complex_B B where {} A.systemTime = B.systemTime"
-SIDES = "DEFINE { query_name 'complex_A'; } select systemTime, strField1, strField2, intField from [csv].CSV_COMPLEX_1 where strField1 = 'ABC'; DEFINE { query_name 'complex_B'; } select systemTime, strField1, strField2, intField from [csv].CSV_COMPLEX_1 where strField2 = 'DEF'"
+RED = ["red|apple|7", "red|rose|12", "red|brick|8"]
+LEAF = ["lime|leaf|12", "oak|leaf|3", "elm|leaf|9"]
+OTHER = ["elm|bark|5", "apple|red|6", "blue|sky|20"]
+SIDES = "DEFINE { query_name 'reds'; } SELECT seen, first, second, n FROM [csv].WORDS WHERE first = 'red'; DEFINE { query_name 'leaves'; } SELECT seen, first, second, n FROM [csv].WORDS WHERE second = 'leaf'"
+JOIN = "SELECT r.seen, r.first, r.second, r.n, l.first, l.second, l.n {} FROM reds r, leaves l WHERE {} r.seen = l.seen"
+BOTH, REST_RED, REST_LEAF = ["1|red|rose|12|lime|leaf|12"], ["1|red|apple|7|||7", "1|red|brick|8|||8"], ["1|||3|oak|leaf|3", "1|||9|elm|leaf|9"]
 
 
 @pytest.mark.parametrize(
     ("kind", "lines", "condition", "want"),
     [
-        ("INNER_JOIN", "xyz|DEF|15 ABC|abc|16 HHH|BBC|20 abc|DEF|18 abc|def|19 ABC|xyz|17".split(), "A.strField2 = B.strField1 and", "1|ABC|abc|16|abc|DEF|18 1|ABC|xyz|17|xyz|DEF|15"),
-        ("LEFT_OUTER_JOIN", JOIN_INPUT, "A.intField = B.intField and", "1|ABC|VSC|21|ZYX|DEF|21 1|ABC|CSV|17|||17 1|ABC|xyz|18|||18"),
-        ("RIGHT_OUTER_JOIN", JOIN_INPUT, "A.intField = B.intField and", "1|ABC|VSC|21|ZYX|DEF|21 1|||11|XYZ|DEF|11 1|||19|abc|DEF|19"),
-        ("OUTER_JOIN", JOIN_INPUT, "A.intField = B.intField and", "1|ABC|CSV|17|||17 1|ABC|VSC|21|ZYX|DEF|21 1|ABC|xyz|18|||18 1|||11|XYZ|DEF|11 1|||19|abc|DEF|19"),
-        ("INNER_JOIN", "ABC|VSC|21 XYZ|DEF|11 ABC|DEF|19 abc|def|12".split(), "", "1|ABC|VSC|21|XYZ|DEF|11 1|ABC|VSC|21|ABC|DEF|19 1|ABC|DEF|19|XYZ|DEF|11 1|ABC|DEF|19|ABC|DEF|19"),
+        ("INNER_JOIN", ["red|oak|4", "oak|leaf|5", "red|pine|6", *OTHER], "r.second = l.first and", ["1|red|oak|4|oak|leaf|5"]),
+        ("INNER_JOIN", RED + LEAF + OTHER, "r.n = l.n and", BOTH),
+        ("LEFT_OUTER_JOIN", RED + LEAF + OTHER, "r.n = l.n and", BOTH + REST_RED),
+        ("RIGHT_OUTER_JOIN", OTHER + RED + LEAF, "r.n = l.n and", BOTH + REST_LEAF),
+        ("OUTER_JOIN", LEAF + OTHER + RED, "r.n = l.n and", BOTH + REST_RED + REST_LEAF),
+        ("INNER_JOIN", ["red|leaf|1", "red|fox|2", "oak|leaf|3", *OTHER], "", [f"1|{a}|{b}" for a in ("red|leaf|1", "red|fox|2") for b in ("red|leaf|1", "oak|leaf|3")]),
     ],
 )
-def test_join_goldens(engine, tmp_path, kind, lines, condition, want):
+def test_joins_fill_what_is_missing(engine, tmp_path, kind, lines, condition, want):
     feed(engine, tmp_path, lines)
     engine.settings.strict = True
     engine.sql(SIDES)
-    assert lines_of(engine.stream(JOIN.format(kind, condition))) == sorted(want.split())
+    assert lines_of(engine.stream(JOIN.format(kind, condition))) == sorted(want)
 
 
-ROWS = {"s": "123|TRUE|String1|String2", "a": "456|FALSE|ABCD|ABCD", "x": "1|TRUE|xyz|abc", "o": "156|TRUE|sTRING3|Other"}
+ROWS = {"s": "40|TRUE|Left1|Left2", "a": "95|FALSE|same|same", "x": "3|TRUE|zoo|ant", "o": "62|TRUE|lOWER|Other"}
 
 
 @pytest.mark.parametrize(
     ("where", "want"),
     [
-        ("strField1 = strField2", "a"), ("intField = 1", "x"), ("boolField = TRUE", "sxo"), ("strField1 <> strField2", "sxo"), ("intField <> 1", "aos"), ("strField1 <> 'ABCD'", "sxo"),
-        ("strField2 > strField1", "s"), ("intField > 123", "ao"), ("boolField > FALSE", "sxo"), ("strField2 >= strField1", "sa"), ("intField >= 123", "sao"), ("boolField >= TRUE", "sxo"),
-        ("strField1 in [ 'String1', 'xyz']", "sx"), ("intField in [ 123, 156 ]", "so"), ("boolField in [ TRUE ]", "sxo"),
-        ("intField < 123 or not (boolField = TRUE)", "ax"), ("(intField + 1) * 2 <= 248", "sx"), ("((intField)) < 2", "x"), ("str_exists_substr[strField1, 'CD']", "a"), ("str_compare[strField1, 'xyz'] and intField >= 156", "ao"),
+        ("left = right", "a"), ("n = 3", "x"), ("flag = TRUE", "sxo"), ("left <> right", "sxo"), ("n <> 3", "aos"), ("left <> 'same'", "sxo"),
+        ("right > left", "s"), ("n > 40", "ao"), ("flag > FALSE", "sxo"), ("right >= left", "sa"), ("n >= 40", "sao"), ("flag >= TRUE", "sxo"),
+        ("left in [ 'Left1', 'zoo']", "sx"), ("n in [ 40, 62 ]", "so"), ("flag in [ TRUE ]", "sxo"),
+        ("n < 40 or not (flag = TRUE)", "ax"), ("(n + 1) * 2 <= 82", "sx"), ("((n)) < 4", "x"), ("str_exists_substr[left, 'me']", "a"), ("str_compare[left, 'zoo'] and n >= 62", "ao"),
     ],
 )
 def test_predicates(engine, tmp_path, where, want):
     feed(engine, tmp_path, ROWS.values())
-    got = lines_of(engine.stream(f"select systemTime, intField, boolField, strField1, strField2 from csv0.CSV_TEST_PREDICATES where {where}"))
+    got = lines_of(engine.stream(f"SELECT seen, n, flag, left, right FROM csv0.MIXED WHERE {where}"))
     assert got == sorted("1|" + ROWS[k] for k in want)
 
 
-INT_ROWS = "1|2 56|87 1|2 3|4 156|3562 156|637846 65|451 65|679 156|3562 156|3562 65|231 9088|352653".split()
-INT_WANT = "1|1|2|4|2|2|2|2|0 1|156|4|648532|3562|637846|2434|638974|636540 1|3|1|4|4|4|4|4|4 1|56|1|87|87|87|87|87|87 1|65|3|1361|231|679|131|999|899 1|9088|1|352653|352653|352653|352653|352653|352653".split()
+def grouped(rows, read, show, folds):
+    """Groups of `key|value` lines, folded one by one."""
+    groups = {}
+    for line in rows:
+        key, value = line.split("|")
+        groups.setdefault(key, []).append(read(value))
+    return sorted("|".join(["1", k, str(len(v)), *(s(f(v)) for f, s in zip(folds, show, strict=True))]) for k, v in groups.items())
+
+
+BITS = [sum, min, max, lambda v: reduce(operator.and_, v), lambda v: reduce(operator.or_, v), lambda v: reduce(operator.xor, v)]
+INTEGERS = [f"{k}|{v}" for k, v in [(4, 12), (9, 77), (4, 12), (31, 90210), (31, 655), (31, 655), (8, 1), (8, 255), (8, 4095), (9, 512)]]
 
 
 @pytest.mark.parametrize("kind", ["int", "uint", "llong", "ullong"])
 def test_integer_aggregates(engine, tmp_path, kind):
-    feed(engine, tmp_path, INT_ROWS)
-    q = f"select systemTime, Key, count(*), sum(Value), min(Value), max(Value), And_Aggr(Value), Or_Aggr(Value), Xor_Aggr(Value) from [csv].KV_{kind} group by systemTime, Key"
-    assert lines_of(engine.stream(q)) == sorted(INT_WANT)
+    feed(engine, tmp_path, INTEGERS)
+    q = f"SELECT seen, Key, count(*), sum(Value), min(Value), max(Value), AND_AGGR(Value), OR_AGGR(Value), XOR_AGGR(Value) FROM [csv].KV_{kind} GROUP BY seen, Key"
+    assert lines_of(engine.stream(q)) == grouped(INTEGERS, int, [str] * 6, BITS)
 
 
-@pytest.mark.parametrize(
-    ("kind", "aggregates", "rows", "want"),
-    [
-        ("float", "count(*), sum(Value), min(Value), max(Value)", "123562.000000|1.000366 4.000145|1.657700 4.000145|2.657800 4.000145|1.657700 4.000145|1.657700 4.000145|2.657800 1.000000|2.000000", "1|1.000000|1|2.000000|2.000000|2.000000 1|123562.000000|1|1.000366|1.000366|1.000366 1|4.000145|5|10.288700|1.657700|2.657800"),
-        ("bool", "count(*), sum(Value), min(Value), max(Value), And_Aggr(Value), Or_Aggr(Value), Xor_Aggr(Value)", "TRUE|TRUE FALSE|TRUE FALSE|FALSE FALSE|FALSE TRUE|FALSE FALSE|FALSE TRUE|TRUE TRUE|TRUE FALSE|FALSE", "1|FALSE|5|1|FALSE|TRUE|FALSE|TRUE|TRUE 1|TRUE|4|3|FALSE|TRUE|FALSE|TRUE|TRUE"),
-        ("string", "count(*), min(Value), max(Value)", "wertyerw|xcvbmbbvcm TDEUETU|BNMBNMHB TDEUETU|BNMBNMHB TDEUETU|dfsghdfsdf TDEUETU|dfsghdfsdf", "1|TDEUETU|4|BNMBNMHB|dfsghdfsdf 1|wertyerw|1|xcvbmbbvcm|xcvbmbbvcm"),
-        ("IP", "count(*), min(Value), max(Value)", "135.197.192.237|23.12.19.9 135.197.192.237|23.12.19.9 45.231.12.2|19.24.34.178 19.24.34.178|45.231.12.2 19.24.34.178|78.5.16.98", "1|135.197.192.237|2|23.12.19.9|23.12.19.9 1|19.24.34.178|2|45.231.12.2|78.5.16.98 1|45.231.12.2|1|19.24.34.178|19.24.34.178"),
-        ("IPV6", "count(*), min(Value), max(Value)", "2002:87c5:c0e4:0000:0000:0000:87c5:c0e4|2002:87cf:f0ae:0000:0000:0000:87c5:c0e4 2002:87c5:c0e4:0000:0000:0000:87c5:c0e4|2002:640d:172d:0036:12f0:7fff:ffff:ffff", "1|2002:87c5:c0e4:0000:0000:0000:87c5:c0e4|2|2002:640d:172d:0036:12f0:7fff:ffff:ffff|2002:87cf:f0ae:0000:0000:0000:87c5:c0e4"),
-    ],
-)
-def test_other_aggregates(engine, tmp_path, kind, aggregates, rows, want):
-    feed(engine, tmp_path, rows.split())
-    assert lines_of(engine.stream(f"select systemTime, Key, {aggregates} from [csv].KV_{kind} group by systemTime, Key")) == sorted(want.split())
+TRUTH = {True: "TRUE", False: "FALSE"}.get
+OF_KIND = {
+    "float": (["7.250000|0.500000", "7.250000|2.125000", "19.000000|3.000000", "7.250000|0.500000"], float, [lambda v: f"{v:.6f}"] * 3, [sum, min, max], "sum(Value), min(Value), max(Value)"),
+    "bool": (["TRUE|FALSE", "FALSE|FALSE", "TRUE|TRUE", "FALSE|FALSE", "TRUE|TRUE", "TRUE|TRUE"], lambda v: v == "TRUE", [str, *[TRUTH] * 5], BITS, "sum(Value), min(Value), max(Value), AND_AGGR(Value), OR_AGGR(Value), XOR_AGGR(Value)"),
+    "string": (["pear|green", "Pear|Zinc", "pear|Green", "pear|greener"], str, [str] * 2, [min, max], "min(Value), max(Value)"),
+    "IP": (["10.0.0.7|9.255.0.1", "10.0.0.7|100.0.0.1", "192.168.3.4|1.2.3.4"], lambda v: tuple(map(int, v.split("."))), [lambda v: ".".join(map(str, v))] * 2, [min, max], "min(Value), max(Value)"),
+    "IPV6": (["2001:0db8:0000:0000:0000:0000:0000:0001|fd00:0000:0000:0000:0000:0000:0000:0009", "2001:0db8:0000:0000:0000:0000:0000:0001|2001:0db8:00ff:0000:0000:0000:0000:0000"], str, [str] * 2, [min, max], "min(Value), max(Value)"),
+}
+
+
+@pytest.mark.parametrize("kind", OF_KIND)
+def test_other_aggregates(engine, tmp_path, kind):
+    rows, read, show, folds, aggregates = OF_KIND[kind]
+    feed(engine, tmp_path, rows)
+    assert lines_of(engine.stream(f"SELECT seen, Key, count(*), {aggregates} FROM [csv].KV_{kind} GROUP BY seen, Key")) == grouped(rows, read, show, folds)
 
 
 @pytest.mark.parametrize(
     ("kind", "rows"),
-    [("IP", "135.197.192.237|23.12.19.9 56.67.0.9|45.234.241.17"), ("bool", "TRUE|FALSE FALSE|FALSE"), ("float", "123562.000000|1.000366"), ("int", "156|-3562"), ("llong", "-9832|19832"), ("string", "a|b"), ("uint", "1|2"), ("ullong", "578578|18446744073709551615"), ("ushort", "1|65535"), ("IPV6", "fe80:0000:81fd:0036:12f0:7fff:ffff:ffff|0000:0000:0000:0000:0000:0000:0000:0001")],
+    [("IP", "10.20.30.40|1.2.3.4"), ("bool", "TRUE|FALSE FALSE|TRUE"), ("float", "2.500000|-0.125000"), ("int", "15|-20"), ("llong", "-77|4000000000"), ("string", "a|b"), ("uint", "1|4294967295"), ("ullong", "5|18446744073709551615"), ("ushort", "1|65535"), ("IPV6", "fd00:0000:0000:0000:0000:0000:00aa:0001|0000:0000:0000:0000:0000:0000:0000:0001")],
 )
 def test_types_pass_through(engine, tmp_path, kind, rows):
     feed(engine, tmp_path, rows.split())
-    assert lines_of(engine.stream(f"select systemTime, Key, Value from [csv].KV_{kind}")) == sorted("1|" + r for r in rows.split())
+    assert lines_of(engine.stream(f"SELECT seen, Key, Value FROM [csv].KV_{kind}")) == sorted("1|" + r for r in rows.split())
 
 
 def test_malformed_fields_drop_rows_that_use_them(engine, tmp_path):

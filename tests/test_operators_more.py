@@ -132,32 +132,32 @@ def test_query_sets(spark):
 
 
 def test_json_application(spark, tmp_path):
-    inputs = tmp_path / "in"
-    inputs.mkdir()
-    (inputs / "1.json").write_text("".join(f'{{"data":["{i}","{j}"]}}\n' for i in range(1, 11) for j in range(1, i + 1)))
-    schema = StreamSchema("intInput").add("timestamp", "llong", INCREASING).add("intStream", "int")
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "1.json").write_text("".join(f'{{"data":["{i}","{j}"]}}\n' for i in range(1, 11) for j in range(1, i + 1)))
+    schema = StreamSchema("counts").add("at", "llong", INCREASING).add("n", "int")
     for streaming, last in ((True, 9), (False, 10)):
         app = StreamApp(spark, str(tmp_path / f"at{streaming}"), streaming)
-        app.add_json_input("inputs", schema, str(inputs))
-        app.add_query("sums", "SELECT timestamp, SUM(intStream) AS sumValue FROM inputs.intInput GROUP BY timestamp")
+        app.add_json_input("meter", schema, str(landing))
+        app.add_query("sums", "SELECT at, SUM(n) AS total FROM meter.counts GROUP BY at")
         seen = {}
-        app.on("sums")(lambda r, seen=seen: seen.update({r["timestamp"]: r["sumValue"]}))
+        app.on("sums")(lambda r, seen=seen: seen.update({r["at"]: r["total"]}))
         assert app.run() == {"sums": last}
         assert seen == {t: t * (t + 1) // 2 for t in range(1, last + 1)}
 
 
 def test_join_application(spark, tmp_path):
-    for name, make in (("names", lambda i: f"NAME{i}"), ("ages", lambda i: i * 10)):
+    for name, make in (("people", lambda i: f"P{i}"), ("years", lambda i: i * 10)):
         (tmp_path / name).mkdir()
         (tmp_path / name / "1.json").write_text("".join(f'{{"data":["{i}","{make(i)}"]}}\n' for i in range(1, 9)))
     app = StreamApp(spark, str(tmp_path / "at"))
-    app.add_json_input("nameInput", StreamSchema("nameDataStream").add("uid", "int", INCREASING).add("name", "string"), str(tmp_path / "names"))
-    app.add_json_input("ageInput", StreamSchema("ageDataStream").add("uid", "int", INCREASING).add("age", "int"), str(tmp_path / "ages"))
-    app.add_query("people", "SELECT nI.uid, nI.name, aI.age INNER_JOIN FROM nameInput.nameDataStream nI, ageInput.ageDataStream aI WHERE nI.uid = aI.uid AND aI.age > 40")
+    app.add_json_input("crm", StreamSchema("people").add("id", "int", INCREASING).add("called", "string"), str(tmp_path / "people"))
+    app.add_json_input("hr", StreamSchema("years").add("id", "int", INCREASING).add("years", "int"), str(tmp_path / "years"))
+    app.add_query("old", "SELECT p.id, p.called, y.years INNER_JOIN FROM crm.people p, hr.years y WHERE y.id = p.id AND y.years > 40")
     seen = []
-    app.on("people")(seen.append)
+    app.on("old")(seen.append)
     app.run()
-    assert sorted((r["uid"], r["name"], r["age"]) for r in seen) == [(i, f"NAME{i}", i * 10) for i in range(5, 9)]
+    assert sorted((r["id"], r["called"], r["years"]) for r in seen) == [(i, f"P{i}", i * 10) for i in range(5, 9)]
 
 
 def test_sinks(engine, tmp_path, spark):

@@ -143,7 +143,7 @@ def operator_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interface_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark)
     e.catalog.system_time = 1
-    e.register_schemas("PROTOCOL base { uint systemTime get_system_time (increasing); } PROTOCOL ev (base) { uint event_id x; uint user_id y; string event_type z; }")
+    e.register_schemas("PROTOCOL arrivals { uint arrived get_system_time (increasing); } PROTOCOL ev (arrivals) { uint event_id x; uint user_id y; string event_type z; }")
     for kind in ("view", "click", "purchase"):
         e.register_interface(kind, "FRAME", frame=lambda s, kind=kind: s.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == kind), Feed="web" if kind != "purchase" else "shop", InterfaceType="FRAME")
     e.catalog.add_sets("web : Equals[Feed,web] and not Equals[InterfaceType,CSV]")
