@@ -243,3 +243,61 @@ def test_projection(spark):
     assert (out.I, out.f, out.b, out.l, out.m, out.r.p, out.r.z, out.none) == (1, "2.5", "true", [1.0], {"a": 1}, "1", None, None)
     with pytest.raises(TypeError):
         projected(df, "f int")
+
+
+def test_declared_functions(spark):
+    from weir.functions.declare import declare, parse
+    from weir.operators.sampling import LossyCounting
+
+    text = """
+    # comments are left out
+    uint FUN [LFTA_LEGAL, COST LOW] twice (uint);
+    string FUN [PARTIAL] after_dash (string, string HANDLE);
+    PRED [LFTA_LEGAL] even [uint];
+    float UDAF spread udaf16 (float);
+    uint UDAF [RUNNING] rolling fstring8 (uint, uint CONST);
+    fstring8 STATE bucket;
+    int SFUN every bucket (uint);
+    """
+    assert [d.kind for d in parse(text)] == ["FUN", "FUN", "PRED", "UDAF", "UDAF", "STATE", "SFUN"]
+    e = Engine(spark)
+
+    class Every(LossyCounting):
+        def every(self, groups, n):
+            return self.local_count(groups, n)
+
+    declare(
+        e.registry,
+        text,
+        {"twice": lambda v: v * 2, "after_dash": lambda s, d: F.nullif(F.substring_index(s, d, -1), s), "even": lambda v: v % 2 == 0, "spread": lambda v: F.max(v) - F.min(v), "rolling": lambda v, *_: F.sum(v)},
+        {"bucket": Every},
+        {"rolling": lambda panes, n: F.aggregate(panes, F.lit(0).cast("bigint"), lambda a, v: a + v)},
+    )
+    e.register_table("x", spark.createDataFrame([(1, "a-b"), (2, "c"), (4, "d-e")], "t long, s string"), {"t": "uint"}, ["t"])
+    assert rows(e.sql("SELECT twice(t) AS d, after_dash(s, '-') AS s FROM x")) == [(2, "b"), (8, "e")]
+    assert rows(e.sql("SELECT t FROM x WHERE even[t]")) == [(2,), (4,)]
+    assert rows(e.sql("SELECT spread(FLOAT(t)) AS r FROM x")) == [(3.0,)]
+    assert rows(e.sql("SELECT t, rolling(t, 2) AS r FROM x GROUP BY t CLOSING_WHEN count(*) > 9")) == [(1, 1), (2, 3), (4, 6)]
+    assert rows(e.sql("SELECT t, count(*) AS n FROM x WHERE every(2) = 1 GROUP BY t SUPERGROUP t, t")) == []
+    with pytest.raises(ValueError):
+        declare(e.registry, "uint FUN missing (uint);", {})
+    with pytest.raises(ValueError):
+        parse("uint nothing x")
+
+
+def test_ingest_over_http(spark, tmp_path):
+    import urllib.error
+    import urllib.request
+
+    from weir.sources.ingest import IngestServer
+
+    with IngestServer({"in": str(tmp_path / "land")}) as server:
+        post = lambda name, body: urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.port}/v1/streams/{name}", body.encode(), method="POST"), timeout=5).status
+        assert post("in", '{"data":["1","2"]}\n{"data":["1","5"]}') == 200
+        for name, body in (("in", "nothing"), ("other", '{"data":[]}')):
+            with pytest.raises(urllib.error.HTTPError):
+                post(name, body)
+    app = StreamApp(spark, str(tmp_path / "at"), streaming=False)
+    app.add_json_input("feed", StreamSchema("pairs").add("t", "llong", INCREASING).add("v", "int"), str(tmp_path / "land"))
+    app.add_query("q", "SELECT t, sum(v) AS s FROM feed.pairs GROUP BY t")
+    assert rows(app.queries["q"]) == [(1, 7)]

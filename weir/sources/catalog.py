@@ -22,7 +22,8 @@ _POSITION = re.compile(r"_pos(\d+)$", re.I)
 class Interface:
     """A feed: its kind (CSV, JSON, PARQUET, FRAME), properties, and the machine it is on.
 
-    Properties: Filename or Path, CSVSeparator, SingleFile, Slack_<protocol>; all may be read in queries as @Name.
+    Properties: Filename or Path, CSVSeparator, Streaming, Unlink (delete files that a stream has read), TcpPort,
+    Slack_<protocol>; all may be read in queries as @Name.
     """
 
     name: str
@@ -190,7 +191,10 @@ def read_interface(spark: SparkSession, i: Interface, fields: list[S.Field], sys
         typed = {n: c if dict(df.dtypes)[n] != "string" or T.named(f.kind) == T.STRING else T.parsed(c, T.named(f.kind)) for f in fields if (n := f.name) in columns for c in (columns[n],)}
     elif i.kind == "CSV":
         separator = i.properties.get("CSVSeparator", ",")
-        text = reader.text(path)
+        if "TcpPort" in i.properties:  # for development: a socket can't be read again after a failure
+            text = spark.readStream.format("socket").option("host", i.host).option("port", i.properties["TcpPort"]).load()
+        else:
+            text = (reader.option("cleanSource", "delete") if streaming and i.properties.get("Unlink", "").lower() == "true" else reader).text(path)
         parts = F.split(F.col("value"), "\\Q" + separator + "\\E")
         df = text.where("value <> ''")
         typed = {n: T.parsed(F.get(parts, F.lit(p - 1)), T.named(next(f.kind for f in fields if f.name == n))) for n, p in positions.items()}
