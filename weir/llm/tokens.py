@@ -16,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words remembered by a Python worker (two generations of this many, about 200 bytes each).
-MEMORY = 600_000
+MEMORY = 800_000
 #: Three white-space characters together, or two at the end: the only runs that are not cut into single ones.
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 _PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -67,6 +67,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         self.line = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -111,6 +112,15 @@ class Encoder:
                 self.words[w] = got
         self.words.update(self._new(new, lead))
 
+    def _first(self, word: str) -> bytes:
+        """The ids of a word that begins a text."""
+        ids = self.firsts.get(word)
+        if ids is None:
+            if len(self.firsts) > 50_000:
+                self.firsts.clear()
+            ids = self.firsts[word] = self._new([word], "")[word]
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self.kind == "whole":
@@ -139,7 +149,7 @@ class Encoder:
                     ids[k] = new[parts[k]]
         for k, (i, parts) in enumerate(split):
             if lead:  # nothing stands before the first
-                known[k][0] = self._new([parts[0]], "")[parts[0]]
+                known[k][0] = self._first(parts[0])
             out[i] = b"".join(known[k])
         return out
 
