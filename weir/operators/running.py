@@ -2,8 +2,8 @@
 
 Rows are first reduced to one pane per group and epoch. Between two panes of a group the idle epochs follow
 from the panes alone: none if the group closed, one if an idle group closes, else all of them. So only
-rows that are reported are ever made, all in built-in expressions; the one small table that all share is the
-list of epochs.
+rows that are reported are ever made, all in built-in expressions. The panes are worked out once and written to
+the shared folder, since the list of epochs (one row an epoch, numbered in one task) comes from them as well.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weir import types as T
 from weir.plans import syntax as S
 from weir.plans.expressions import Typed
+from weir.tables import written
 
 _IDLE = {"count": lambda k: F.lit(0), "sum": T.empty, "avg": T.empty, "min": T.greatest, "max": T.least, "or_aggr": T.empty, "xor_aggr": T.empty}
 
@@ -59,9 +60,10 @@ def running(lowering, q: S.Query, streams: dict):
     at = [f"_k_{n}" for n in epoch]
     group = [f"_k_{n}" for n in own] or [F.lit(0)]
     panes = df.select("*", *(t.col.alias(f"_k_{n}") for n, t in keys.items())).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *(a.alias(f"_a{i}") for i, (a, _) in enumerate(built.values())))
+    panes = written(panes, "panes")
     whole = Window.partitionBy()  # one row an epoch
     sort = [F.col(f"_k_{n}").asc() if keys[n].moves == T.INCREASING else F.col(f"_k_{n}").desc() for n in epoch]
-    epochs = panes.select(*at).distinct().withColumn("_i", F.row_number().over(Window.orderBy(*sort))).withColumn("_last", F.count(F.lit(1)).over(whole))
+    epochs = panes.select(*at).distinct().withColumn("_i", F.row_number().over(Window.orderBy(*sort)).cast("bigint")).withColumn("_last", F.count(F.lit(1)).over(whole))
     values = {c: Typed(F.col(f"_a{i}"), kind) for i, (c, (_, kind)) in enumerate(built.items())}
     idle = {f"_a{i}": (F.lit(0).cast(T.SPARK[kind]) if c in rolling else _idle(c.name.lower(), kind).cast(T.SPARK[kind])) for i, (c, (_, kind)) in enumerate(built.items())}
     after = lowering.after(scope, items, keys, values)
@@ -71,10 +73,10 @@ def running(lowering, q: S.Query, streams: dict):
     panes = panes.withColumns({"_closed": after.condition(q.closing_when), "_resting": resting.condition(q.closing_when)})
     upto = F.when(F.col("_closed"), F.col("_i")).when(F.col("_resting"), F.least(F.col("_i") + 1, F.col("_next") - 1)).otherwise(F.col("_next") - 1)
     kept = [f"_k_{n}" for n in own]
-    rests = panes.withColumn("_upto", upto).where("_upto > _i").select(*kept, F.explode(F.sequence(F.col("_i") + 1, F.col("_upto"))).alias("_i"), F.col("_resting").alias("_closed"))
-    rests = rests.withColumns({**idle, "_n": F.lit(0).cast("bigint")}).join(epochs.drop("_last"), "_i")
-    columns = [*names, "_i", "_n", "_closed", *idle]
-    out = panes.select(*columns).unionByName(rests.select(*columns))
+    rows = panes.withColumn("_j", F.explode(F.sequence(F.col("_i").cast("bigint"), upto.cast("bigint")))).withColumn("_own", F.col("_j") == F.col("_i"))
+    values_at = {c: F.when(F.col("_own"), F.col(c)).otherwise(v).alias(c) for c, v in idle.items()}
+    rows = rows.select(*kept, F.col("_j").alias("_i"), F.when(F.col("_own"), F.col("_closed")).otherwise(F.col("_resting")).alias("_closed"), *values_at.values())
+    out = rows.join(epochs.drop("_last"), "_i")
     if rolling:
         order = by.orderBy("_i")
         fresh = F.coalesce(F.lag("_i").over(order) != F.col("_i") - 1, F.lit(True)) | F.coalesce(F.lag("_closed").over(order), F.lit(False))

@@ -48,7 +48,7 @@ def bucketed(stream: Stream, spec: OutputSpec) -> DataFrame:
         raise T.TypeError_("a file output needs an increasing field")
     t = F.col(f"`{ordered[0]}`")
     t = F.unix_seconds(t) if stream.kinds[ordered[0]] == T.TIMEVAL else t.cast("bigint")
-    return stream.df.withColumn("bucket", F.floor(t / spec.bucket) * spec.bucket)
+    return stream.df.withColumn("bucket", T.floored(t, spec.bucket) * spec.bucket)
 
 
 def text_lines(stream: Stream, separator: str = "|") -> DataFrame:

@@ -413,12 +413,12 @@ class Lowering:
         keys = [(scope.scalar(x).col, scope.scalar(y).col) for x, y in equal]
         time = {a: (F.unix_seconds(t.col) if t.kind == T.TIMEVAL else t.col.cast("bigint")) for a, t in at.items()}
         names = [f"_q{i}" for i in range(len(keys))]
-        right = sides[ra].select(*(y.alias(n) for (_, y), n in zip(keys, names, strict=True)), time[ra].alias("_t")).withColumn("_b", F.floor(F.col("_t") / span))
+        right = sides[ra].select(*(y.alias(n) for (_, y), n in zip(keys, names, strict=True)), time[ra].alias("_t")).withColumn("_b", T.floored(F.col("_t"), span))
         seen = right.groupBy(*names, "_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         none = F.lit(None).cast("bigint")
         spans = F.explode(F.array(F.struct(F.col("_b").alias("b"), F.col("_lo").alias("lo"), none.alias("hi")), F.struct((F.col("_b") + 1).alias("b"), none.alias("lo"), F.col("_hi").alias("hi"))))
         seen = seen.select(*names, spans.alias("_s")).select(*names, F.col("_s.b").alias("_b"), "_s.lo", "_s.hi").groupBy(*names, "_b").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-        left = sides[la].withColumns({f"_p{i}": x for i, (x, _) in enumerate(keys)}).withColumn("_lt", time[la]).withColumn("_lb", F.floor(F.col("_lt") / span))
+        left = sides[la].withColumns({f"_p{i}": x for i, (x, _) in enumerate(keys)}).withColumn("_lt", time[la]).withColumn("_lb", T.floored(F.col("_lt"), span))
         condition = (F.col("_lb") == F.col("_b")) & ((F.col("_lo") <= F.col("_lt")) | (F.col("_hi") > F.col("_lt") - span))
         for i, n in enumerate(names):
             condition = condition & (F.col(f"_p{i}") == F.col(n))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weir import types as T
 from weir.session import Engine
 from weir.streaming.flow import Flow, Flowlet, output, process_input, projected
+from weir.tables import folder
 
 TABLES = "region nation customer supplier part orders lineitem".split()
 KINDS = {
@@ -24,7 +25,7 @@ KINDS = {
 
 
 def _seconds(events: DataFrame):
-    return F.floor(T.micros(F.col("ts"), dict(events.dtypes)["ts"]) / 1_000_000).cast("bigint")
+    return T.seconds(F.col("ts"), dict(events.dtypes)["ts"])
 
 
 def engine(spark: SparkSession, sf_dir: str, **settings) -> Engine:
@@ -155,7 +156,7 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weir.operators.sinks import text_lines
 
     e = engine(spark, sf_dir)
-    path = _folder(spark, "csv")
+    path = folder(spark, "csv")
     text_lines(e.stream("SELECT n_nationkey, n_name, n_regionkey FROM nation")).write.text(path)
     e.register_schemas("PROTOCOL n { uint n_nationkey get_csv_uint_pos1; string n_name get_csv_string_pos2; uint n_regionkey get_csv_uint_pos3; }")
     e.register_interface("feed", "CSV", Path=path, CSVSeparator="|")
@@ -164,28 +165,19 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir)
-    path = _folder(spark, "json")
+    path = folder(spark, "json")
     spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.to_json(F.struct(F.array(F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string")).alias("data"))).alias("value")).write.text(path)
     e.register_schemas("PROTOCOL s { uint s_suppkey a; string s_name b; uint s_nationkey c; }")
     e.register_interface("jin", "JSON", Path=path)
     return e.sql("SELECT s_nationkey, count(*) AS n, max(s_name) AS last FROM jin.s GROUP BY s_nationkey")
 
 
-def _folder(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that executors share (a local one where none is set)."""
-    import tempfile
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weir-")
-    return f"{where.rstrip('/')}/weir-{what}-{uuid.uuid4().hex}"
-
-
 def file_sink_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weir.operators.sinks import parse_specs, write
 
     e = engine(spark, sf_dir)
     s = e.stream("SELECT ts_sec, user_id, event_type FROM events WHERE event_type = 'purchase'")
-    path = _folder(spark, "sink")
+    path = folder(spark, "sink")
     write(s, parse_specs("p,file,gz,out,86400,user_id,4")[0], path)
     return spark.read.parquet(path).groupBy(F.col("bucket").cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.max("ts_sec").alias("last"))
 
@@ -218,7 +210,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> Engine:
 def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
     from weir.streaming.app import to_folder
 
-    path = _folder(spark, "stream")
+    path = folder(spark, "stream")
     to_folder(df, path, path + "-at")
     return spark.read.schema(df.schema).parquet(path)
 

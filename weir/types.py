@@ -42,6 +42,19 @@ def micros(value: Column, kind: str = "timestamp_ntz") -> Column:
     return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
 
+def seconds(value: Column, kind: str = "timestamp_ntz") -> Column:
+    """Whole seconds since 1970, rounded down; one without a zone counts as UTC."""
+    if kind == "timestamp":
+        return F.unix_seconds(value)
+    days = F.date_diff(value.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+
+
+def floored(value: Column, unit: int) -> Column:
+    """value / unit, rounded down, in integers."""
+    return F.call_function("div", value - F.pmod(value, F.lit(unit)), F.lit(unit)).cast("bigint")
+
+
 def empty(kind: str) -> Column:
     """What stands for a value that isn't there: the language has no null."""
     if kind == IPV6:
