@@ -186,3 +186,22 @@ def test_schemas_and_operators(spark):
     e.register_table("src", spark.createDataFrame([(1, "2")], "t long, n string"), {"t": "uint"}, ["t"])
     with pytest.raises(T.TypeError_):
         e.sql("SELECT t FROM twice")
+
+
+def test_operators_on_values(spark):
+    from datetime import datetime, timezone
+    from decimal import Decimal
+
+    e = Engine(spark)
+    df = spark.createDataFrame([(7, -7, 3, bytes(range(240, 256)), True, datetime.fromtimestamp(100, timezone.utc), Decimal((1 << 64) - 2))], "u long, i int, h int, six binary, b boolean, t timestamp, w decimal(20,0)")
+    e.register_table("v", df, {"u": "uint", "h": "ushort", "six": "IPV6"})
+    one = lambda x: e.sql(f"SELECT {x} AS r FROM v").first().r
+    assert [one(x) for x in ("i / 2", "i % 4", "u / 2", "-u", "!u", "!b", "~i", "~u", "u << 2", "u >> 1", "u & 3 | 8", "+u")] == [-3, -3, 3, -7, 0, False, 6, 4294967288, 28, 3, 11, 7]
+    assert one("six & IPV6_VAL 'ffff:0:ffff:0:ffff:0:ffff:0'") == bytes(b if k // 2 % 2 == 0 else 0 for k, b in enumerate(range(240, 256)))
+    assert one("six | IPV6_VAL '::ffff'") == bytes([*range(240, 254), 255, 255])
+    assert one("t + 1500").replace(tzinfo=timezone.utc).timestamp() == 101.5 and one("t - TIMEVAL '99.250'") == 750 and one("t / 4").replace(tzinfo=timezone.utc).timestamp() == 25
+    assert one("w / 2") == (1 << 63) - 1 and one("w + 1") == (1 << 64) - 1 and one("LHEX 'ffffffffff' & 255") == 255
+    assert one("1.5e1 * h") == 45.0 and one("'it''s'") == "it's" and one("INT(u) - 9") == -2 and one("ULLONG(i)") == (1 << 64) - 7
+    for bad in ("six + 1", "b + 1", "t * 2", "'a' & 1", "u << w", "nothing(u)", "strtoi(u)", "sum(sum(u))", "$p", "@x"):
+        with pytest.raises((T.TypeError_, S.SyntaxError_)):
+            one(bad)

@@ -189,6 +189,13 @@ def smart_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).sql(SMART)
 
 
+def flow_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).sql(
+        "SELECT tb, user_id, count(*) AS n FROM events WHERE flow_ssample(50) = 1 GROUP BY ts_sec/864000 AS tb, user_id SUPERGROUP tb, tb HAVING flow_ssfinal_clean(0, 3600, max(ts_sec), count(*)) = 1 "
+        "CLEANING_WHEN flow_ssdo_clean(max(ts_sec)) = 1 CLEANING_BY flow_ssclean_with(0, 3600, max(ts_sec), count(*)) = 1"
+    )
+
+
 def lossy_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).sql("SELECT tb, user_id, count(*) AS n FROM events GROUP BY ts_sec/864000 AS tb, user_id SUPERGROUP tb, tb CLEANING_WHEN local_count(100) = 1 CLEANING_BY count(*) >= current_bucket()")
 
@@ -262,6 +269,7 @@ MORE: dict[str, tuple[Callable, str | None]] = {
     "json_source": (json_source, "SELECT s_nationkey::BIGINT AS s_nationkey, count(*) AS n, max(s_name) AS last FROM supplier GROUP BY ALL"),
     "file_sink_buckets": (file_sink_buckets, f"SELECT ({SEC}) // 86400 * 86400 AS bucket, count(*) AS n, max({SEC}) AS last FROM events WHERE event_type = 'purchase' GROUP BY 1"),
     "smart_sampling": (smart_sampling, None),
+    "flow_sampling": (flow_sampling, None),
     "lossy_counting": (lossy_counting, None),
     "stream_epoch_agg": (stream_epoch_agg, f"WITH t AS (SELECT ({SEC}) // 3600 AS tb, event_type FROM events) SELECT tb, event_type, count(*) AS cnt FROM t WHERE tb < (SELECT max(tb) FROM t) GROUP BY ALL"),
     "stream_join": (stream_join, f"{_WITH} SELECT a.h, a.event_id AS ea, b.event_id AS eb FROM a JOIN b ON a.h = b.h"),
