@@ -33,7 +33,7 @@ def running(lowering, q: S.Query, streams: dict):
 
     (alias, s), = streams.items()
     if s.df.isStreaming:
-        raise T.TypeError_("running aggregation over a stream goes through weir.streaming.running_stream")
+        raise T.TypeError_("running aggregation reads tables: over a stream, run it on what has landed")
     scope = lowering.scope(q, streams)
     df = lowering.filtered(q, scope, lowering.checked(s, lowering.used(q, scope, alias)))
     items = flat(q.group)

@@ -239,8 +239,6 @@ class Machine:
         for s in self.states.values():
             if hasattr(s, "begin_final"):
                 s.begin_final(len(self.groups))
-        total = len(self.groups)
-        assert total == len(self.groups)
         for key, held in list(self.groups.items()):
             group = dict(zip(names, key, strict=True))
             if self.q.having is None or self.eval(self.q.having, None, group, held):
@@ -282,7 +280,9 @@ def sampling(lowering, q: S.Query, streams: dict):
         for x in S.walk(e):  # what a function is called with, by row
             if isinstance(x, S.Call) and x.name.lower() in registry.states:
                 for arg in x.args:
-                    if not any(isinstance(y, S.Lit) and y is arg for y in [arg]) and not any(isinstance(y, S.Call) and y.name.lower() in S.AGGREGATES for y in S.walk(arg)) and arg not in leaves and not (isinstance(arg, S.Col) and arg.name in keys and e is q.cleaning_when):
+                    aggregated = any(isinstance(y, S.Call) and y.name.lower() in S.AGGREGATES for y in S.walk(arg))
+                    grouped = isinstance(arg, S.Col) and arg.name in keys and e is q.cleaning_when
+                    if not isinstance(arg, S.Lit) and not aggregated and not grouped and arg not in leaves:
                         columns[f"v_{len(columns)}"] = scope.scalar(arg).col
                         leaves[arg] = list(columns)[-1]
     for c in scope.partial:
@@ -292,7 +292,7 @@ def sampling(lowering, q: S.Query, streams: dict):
     numeric = {n: F.col(n).cast("double") for n, t in rows.dtypes if t.startswith("decimal") and not n.startswith("o_")}
     rows = rows.withColumns(numeric) if numeric else rows
     by = [f"k_{n}" for n in supers]
-    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    rows = rows.repartition(*by) if by else rows.repartition(1)  # one stream, as the state demands; the scan stays parallel
     rows = rows.sortWithinPartitions(*by, *(f"k_{n}" for n in window), *(f"o_{i}" for i in range(len(order)))).select(*columns)
     out_names = lowering.names(q)
     kinds = [_kind(e, keys, scope, lowering) for e, _ in q.select]
