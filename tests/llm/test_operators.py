@@ -335,7 +335,7 @@ def test_language_models_against_brute_force(spark, sf, small):
     spelt = {r.page_id: "\x02\x02" + r.host + r.path + "\x03" for r in out}
     for r in out:
         s = spelt[r.page_id]
-        if r.rule and zlib.crc32(s[2:-1].encode()) % url_filter.APART:
+        if r.rule and hashlib.md5(s[2:-1].encode()).hexdigest()[0] not in url_filter.APART:
             for i in range(2, len(s)):
                 for k in range(3):
                     counts[r.verdict][k][s[i - k : i + 1]] += 1
@@ -351,7 +351,7 @@ def test_language_models_against_brute_force(spark, sf, small):
     for r in out:
         s = spelt[r.page_id]
         want = np.mean([logp("allow", s, i) - logp("block", s, i) for i in range(2, len(s))])
-        assert r.score == pytest.approx(want, abs=1e-9)
+        assert r.score == pytest.approx(want, abs=1e-6)
     free = [(r.score, r.verdict) for r in out if r.rule is None]
     assert max((s for s, v in free if v == "block"), default=-9e9) < min((s for s, v in free if v == "allow"), default=9e9)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import decontaminate, html_extract, licenses, packing, quality, simhash, tiff, token_files, tokens, toxicity, url_filter
+from weir.llm import decontaminate, html_extract, licenses, packing, quality, simhash, sql, tiff, token_files, tokens, toxicity, url_filter
 from weir.llm.shared import read_table, scratch
 
 SEQUENCE = 2048
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

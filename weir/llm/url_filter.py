@@ -7,8 +7,9 @@ followed those k, from k = 0 to ORDER; below that all characters are equally lik
 its mean log-likelihood difference a character; the threshold is calibrated on URLs that the counts leave out.
 
 Everything is counted by windows of ORDER + 1 characters: URLs are cut into windows, equal windows are summed
-before a shuffle, and each distinct window's log ratio is worked out once. Tables of windows are broadcast
-only if they have been counted and hold at most SMALL rows; larger ones are joined by a shuffle.
+before a shuffle, and each distinct window's log ratio is worked out once, in whole millionths, so that sums are the
+same in any order. Tables of windows are broadcast only if they have been counted and hold at most SMALL rows; larger
+ones are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from weir.llm.shared import written
 ORDER, SMOOTH = 4, 2.0
 #: Rows of a table that may be broadcast (each a window and two numbers: 100 bytes at most).
 SMALL = 400_000
-#: One in so many ruled URLs calibrates the threshold instead of being counted.
-APART = 5
+#: Ruled URLs whose MD5 begins with one of these calibrate the threshold instead of being counted.
+APART = ["0", "1", "2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -57,7 +58,7 @@ def _small(df: DataFrame, rows: int, small: int) -> DataFrame:
 
 
 def ratios(seen: DataFrame, order: int, smooth: float, small: int) -> DataFrame:
-    """(window, llr) for each distinct window of `seen` (window, a, r: counts in accepted and rejected URLs)."""
+    """(window, llr in millionths) for each distinct window of `seen` (window, a, r: counts in accepted and rejected URLs)."""
     length = order + 1
     grams = None
     for k in range(order + 1):
@@ -77,25 +78,24 @@ def ratios(seen: DataFrame, order: int, smooth: float, small: int) -> DataFrame:
         out = out.withColumns({f"p_a{k}": (of("a", "n") + smooth * p_a) / (of("a", "t") + smooth), f"p_r{k}": (of("r", "n") + smooth * p_r) / (of("r", "t") + smooth)})
         out = out.drop(*(f"{c}_{kind}{k}" for c in "ar" for kind in "nt"))
         p_a, p_r = F.col(f"p_a{k}"), F.col(f"p_r{k}")
-    return out.select("window", (F.log(p_a) - F.log(p_r)).alias("llr"))
+    return out.select("window", F.floor((F.log(p_a) - F.log(p_r)) * 1e6 + 0.5).alias("llr"))
 
 
 def threshold_of(scores: DataFrame) -> float:
-    """The score that best parts accepted from rejected URLs (mean of both shares right), on scores rounded to 0.01; 0 if a class is absent.
+    """The score that best parts accepted from rejected URLs (mean of both shares right), by hundredths; 0 if a class is absent.
 
-    Counts by rounded score come to the driver: a probability ratio is bounded, so a few thousand rows at most.
+    Of equals the middle. Counts by hundredth come to the driver: a probability ratio is bounded, so a few thousand rows at most.
     """
-    binned = [(x["b"], x["a"], x["r"]) for x in scores.groupBy(F.round("score", 2).alias("b")).agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r")).orderBy("b").collect()]
+    binned = [(x["b"], x["a"], x["r"]) for x in scores.groupBy(F.floor(F.col("score") * 100).alias("b")).agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r")).orderBy("b").collect()]
     a, r = sum(x[1] for x in binned), sum(x[2] for x in binned)
     if not a or not r:
         return 0.0
-    best, below_a, below_r = [(1.0, binned[0][0] - 0.005)], 0, 0
+    best, below_a, below_r = [(a * r, binned[0][0])], 0, 0
     for b, n_a, n_r in binned:
         below_a, below_r = below_a + n_a, below_r + n_r
-        best.append(((a - below_a) / a + below_r / r, b + 0.005))
-    top = max(x[0] for x in best)
-    good = [t for s, t in best if s == top]
-    return (good[0] + good[-1]) / 2
+        best.append(((a - below_a) * r + below_r * a, b + 1))
+    good = [t for s, t in best if s == max(x[0] for x in best)]
+    return (good[0] + good[-1]) / 200
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: int = ORDER, smooth: float = SMOOTH, small: int = SMALL) -> DataFrame:
@@ -107,13 +107,13 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: i
     host, path = host_and_path(F.col("url"))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     ruled = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "said": said}).withColumn("spelling", F.concat("host", "path"))
-    ruled = written(ruled.withColumn("apart", F.crc32("spelling") % APART == 0).withColumn("row", F.monotonically_increasing_id()), "urls")
+    ruled = written(ruled.withColumn("apart", F.md5(F.encode("spelling", "UTF-8")).substr(1, 1).isin(APART)).withColumn("row", F.monotonically_increasing_id()), "urls")
     counted = ~F.col("apart") & F.col("said").isNotNull()
     a, r = ((counted & (F.col("said") == v)).cast("long") for v in ("allow", "block"))
     seen = written(windows(ruled.select("spelling", a.alias("a"), r.alias("r")), order).groupBy("window").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "windows")
     llr = written(ratios(seen, order, smooth, small), "llr")
     keys = ["row", "page_id", "host", "path", "rule", "said", "apart"]
-    scored = windows(ruled, order).join(_small(llr, llr.count(), small), "window").groupBy(*keys).agg(F.avg("llr").alias("score"))
+    scored = windows(ruled, order).join(_small(llr, llr.count(), small), "window").groupBy(*keys).agg((F.sum("llr") / F.count("llr") / 1e6).alias("score"))
     scored = written(scored, "scored")
     both = seen.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("r"), F.lit(0)).alias("r")).first()
     if both["a"] and both["r"]:
