@@ -200,7 +200,7 @@ def test_operators_on_values(spark):
     assert one("six & IPV6_VAL 'ffff:0:ffff:0:ffff:0:ffff:0'") == bytes(b if k // 2 % 2 == 0 else 0 for k, b in enumerate(range(240, 256)))
     assert one("six | IPV6_VAL '::ffff'") == bytes([*range(240, 254), 255, 255])
     assert one("t + 1500").replace(tzinfo=timezone.utc).timestamp() == 101.5 and one("t - TIMEVAL '99.250'") == 750 and one("t / 4").replace(tzinfo=timezone.utc).timestamp() == 25
-    assert one("w / 2") == (1 << 63) - 1 and one("w + 1") == (1 << 64) - 1 and one("LHEX 'ffffffffff' & 255") == 255
+    assert one("w / 2") == (1 << 63) - 1 and one("w / (w + 1)") == 0 and one("(w + 1) / w") == 1 and one("w + 1") == (1 << 64) - 1 and one("LHEX 'ffffffffff' & 255") == 255
     assert one("1.5e1 * h") == 45.0 and one("'it''s'") == "it's" and one("INT(u) - 9") == -2 and one("ULLONG(i)") == (1 << 64) - 7
     for bad in ("six + 1", "b + 1", "t * 2", "'a' & 1", "u << w", "nothing(u)", "strtoi(u)", "sum(sum(u))", "$p", "@x"):
         with pytest.raises((T.TypeError_, S.SyntaxError_)):

@@ -31,7 +31,8 @@ class Aggregate:
     """A user-defined aggregate: `build` gives an aggregate Column of its arguments.
 
     running: the state lives on between epochs; `over` then gives, for the kept values of an epoch
-    (panes, one per epoch), a Column over the window from the group's first epoch to this one.
+    (panes, one per epoch), a Column over the window from the group's first epoch to this one. summed: a pane is the
+    sum of the first argument, so that a stream can keep panes by itself.
     """
 
     name: str
@@ -41,6 +42,7 @@ class Aggregate:
     running: bool = False
     over: Callable | None = None
     constant: tuple[int, ...] = ()
+    summed: bool = False
 
 
 @dataclass
@@ -167,9 +169,9 @@ def default_registry() -> Registry:
     s("extr_avg_fcn", [T.FLOAT], T.FLOAT, lambda v: v)
     a("POSAVG", [T.FLOAT], T.FLOAT, lambda v: F.coalesce(F.avg(F.when(v >= 0, v)), F.lit(-1.0)))
     pane = lambda v, *_: F.sum(v)
-    a("sum3", [T.UINT], T.UINT, pane, running=True, over=lambda panes: moving(panes, 3).cast("bigint"))
+    a("sum3", [T.UINT], T.UINT, pane, running=True, summed=True, over=lambda panes: moving(panes, 3).cast("bigint"))
     for name in ("moving_sum", "moving_sum_udaf", "super_moving_sum_udaf", "moving_sum_extract"):
-        a(name, [T.UINT, T.UINT], T.UINT, pane, running=True, over=lambda panes, n: moving(panes, n).cast("bigint"), constant=(1,))
+        a(name, [T.UINT, T.UINT], T.UINT, pane, running=True, summed=True, over=lambda panes, n: moving(panes, n).cast("bigint"), constant=(1,))
     for name in ("moving_sum_exp", "moving_sum_extract_exp"):
-        a(name, [T.UINT, T.UINT, T.FLOAT], T.FLOAT, pane, running=True, over=moving, constant=(1, 2))
+        a(name, [T.UINT, T.UINT, T.FLOAT], T.FLOAT, pane, running=True, summed=True, over=moving, constant=(1, 2))
     return r

@@ -4,12 +4,22 @@ Rows are first reduced to one pane per group and epoch. Between two panes of a g
 from the panes alone: none if the group closed, one if an idle group closes, else all of them. So only
 rows that are reported are ever made, all in built-in expressions. The panes are worked out once and written to
 the shared folder, since the list of epochs (one row an epoch, numbered in one task) comes from them as well.
+
+Over a stream each group is a row of the state store: its open epochs, and the last panes of what runs over several.
+The watermark ends epochs, for idle groups as well, by timeouts. What no row tells can't be known there, so
+every whole number is an epoch, also one in which nothing arrived at all; rows of ended epochs are dropped, and the
+last epoch stays open.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
+from decimal import Decimal
+from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,8 +42,6 @@ def running(lowering, q: S.Query, streams: dict):
     from weir.plans.lower import flat
 
     (alias, s), = streams.items()
-    if s.df.isStreaming:
-        raise T.TypeError_("running aggregation reads tables: over a stream, run it on what has landed")
     scope = lowering.scope(q, streams)
     df = lowering.filtered(q, scope, lowering.checked(s, lowering.used(q, scope, alias)))
     items = flat(q.group)
@@ -56,6 +64,8 @@ def running(lowering, q: S.Query, streams: dict):
         built[c] = lowering.aggregate(c, scope)
     for c in scope.partial:
         df = df.where(c.isNotNull())
+    if s.df.isStreaming:
+        return _live(lowering, q, s, scope, df, items, keys, epoch, own, built, rolling)
     names = [f"_k_{n}" for n in keys]
     at = [f"_k_{n}" for n in epoch]
     group = [f"_k_{n}" for n in own] or [F.lit(0)]
@@ -91,3 +101,110 @@ def running(lowering, q: S.Query, streams: dict):
     if q.having is not None:
         out = out.where(after.condition(q.having))
     return lowering.project(q, after, out, s.disorder)
+
+
+def _fold(name: str, held, values: list):
+    if name == "avg":
+        return held[0] + sum(values), held[1] + len(values)
+    if name == "count":
+        return held + len(values)
+    if name == "sum":
+        return held + sum(values)
+    if name in ("min", "max"):
+        found = (min if name == "min" else max)(values)
+        return found if held is None else (min if name == "min" else max)(held, found)
+    return reduce({"and_aggr": lambda a, b: a & b, "or_aggr": lambda a, b: a | b, "xor_aggr": lambda a, b: a ^ b}[name], values, held)
+
+
+def _resting(name: str, kind: str):
+    """What _idle says, as Python has it."""
+    if name == "avg":
+        return 0.0, 1
+    if name == "and_aggr":
+        return -1 if kind in (T.INT, T.LLONG) else T.greatest_value(kind)
+    if name in ("min", "max"):
+        return (T.greatest_value if name == "min" else T.least_value)(kind)
+    return 0
+
+
+def _live(lowering, q: S.Query, s, scope, df, items, keys, epoch, own, built, rolling):
+    from weir.operators.sampling import Machine, _start
+
+    if len(epoch) != 1 or keys[epoch[0]].moves != T.INCREASING or keys[epoch[0]].kind not in T.INTEGERS:
+        raise T.TypeError_("over a stream, CLOSING_WHEN needs one increasing integer in GROUP BY")
+    folds, columns, outs, spans = [], {}, [], {}
+    for i, (c, (_, kind)) in enumerate(built.items()):
+        name = c.name.lower()
+        if c in rolling and rolling[c].summed:
+            value = scope.scalar(c.args[0])
+            spark = "double" if value.kind == T.FLOAT else "bigint"
+            constants = [scope.constant(c.args[k]) for k in rolling[c].constant]
+            spans[i] = int(constants[0]) if constants else 3
+            folds.append(("sum", 0))
+            columns[f"_v{i}"] = value.col.cast(spark)
+            outs.append(f"_a{i} array<{spark}>")
+        elif name in S.AGGREGATES:
+            folds.append((name, _resting(name, kind)))
+            if c.args and name != "count":
+                value = scope.scalar(c.args[0])
+                whole = name not in ("min", "max") and value.kind in T.INTEGERS - {T.ULLONG} | {T.BOOL}
+                columns[f"_v{i}"] = value.col.cast("bigint") if whole else value.col.cast("double") if name == "avg" else value.col
+            outs.append(f"_a{i} {T.SPARK[kind]}")
+        else:
+            raise T.TypeError_(f"{c.name} doesn't run over a stream: use aggregates of the language, or sums of panes")
+    kinds = [kind for _, kind in built.values()]
+    at = F.timestamp_seconds(F.col("_e"))
+    rows = df.select(keys[epoch[0]].col.cast("bigint").alias("_e"), *(keys[n].col.alias(f"_k_{n}") for n in own), *(v.alias(n) for n, v in columns.items()))
+    rows = rows.withColumn("_at", at).withWatermark("_at", f"{max(1, s.disorder)} seconds")
+    types = dict(rows.dtypes)
+    ddl = ", ".join(["_e bigint", *(f"`_k_{n}` {types[f'_k_{n}']}" for n in own), *outs])
+    names = [f"_k_{n}" for n in own]
+    calls, registry, closing, inputs = list(built), lowering.registry, q.closing_when, list(columns)
+
+    def live(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        machine = Machine(q, registry, {}, calls, None)
+        # open epochs' panes, the last epoch that ended, whether the group lives, kept panes of what runs
+        opened, last, alive, kept = cloudpickle.loads(bytes(state.get[0])) if state.exists else ({}, None, False, {i: [] for i in spans})
+        if not state.hasTimedOut:
+            for frame in frames:
+                for e, part in frame.groupby("_e"):
+                    held = opened.setdefault(int(e), [_start(n) for n, _ in folds])
+                    for i, (n, _) in enumerate(folds):
+                        held[i] = _fold(n, held[i], part[f"_v{i}"].tolist() if f"_v{i}" in inputs else part["_e"].tolist())
+        limit, done, group = state.getCurrentWatermarkMs() // 1000, [], dict(zip(own, key, strict=False))
+        while alive or opened:
+            e = last + 1 if alive else min(opened)
+            if e > limit:
+                break
+            held = opened.pop(e, None) or [idle for _, idle in folds]
+            values = []
+            for i, (n, _) in enumerate(folds):
+                if i in spans:
+                    kept[i] = [*kept[i], held[i]][-spans[i] :]
+                    values.append(kept[i])
+                else:
+                    v = held[i][0] / held[i][1] if n == "avg" else held[i]
+                    values.append(bool(v) if kinds[i] == T.BOOL else Decimal(v) if kinds[i] == T.ULLONG else v)
+            done.append((e, *(key if names else ()), *values))
+            last, alive = e, not machine.eval(closing, None, group, held)
+            if not alive:
+                kept = {i: [] for i in spans}
+        if alive or opened:
+            state.update((cloudpickle.dumps((opened, last, alive, kept)),))
+            state.setTimeoutTimestamp(max((last + 1 if alive else min(opened)) * 1000 - 500, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame(done, columns=["_e", *names, *(f"_a{i}" for i in range(len(folds)))])
+
+    out = rows.withColumn("_all", F.lit(0)).groupBy(*(names or ["_all"])).applyInPandasWithState(live, ddl, "held binary", "append", "EventTimeTimeout")
+    out = out.withColumn(f"_k_{epoch[0]}", F.col("_e").cast(T.SPARK[keys[epoch[0]].kind]))
+    values = {}
+    for i, (c, (_, kind)) in enumerate(built.items()):
+        if i in spans:
+            values[c] = Typed(rolling[c].over(F.col(f"_a{i}"), *(scope.constant(c.args[k]) for k in rolling[c].constant)).cast(T.SPARK[kind]), kind)
+        else:
+            values[c] = Typed(F.col(f"_a{i}"), kind)
+    after = lowering.after(scope, items, keys, values)
+    if q.having is not None:
+        out = out.where(after.condition(q.having))
+    return lowering.project(q, after, out, s.disorder)

@@ -1,8 +1,13 @@
 """Supergroup sampling: stateful functions decide row by row what is sampled, cleaned and reported.
 
 The decisions of a supergroup follow its rows in order, so its rows are sorted within one partition and read
-as a stream of Arrow batches: what is held is the sample, never the supergroup. Everything that isn't stateful
-(source filters, expressions over a row) is computed before, in built-in expressions.
+as a stream of Arrow batches: what is held is the sample, never the supergroup. Where no state outlives its window,
+windows are apart as well. Everything that isn't stateful (source filters, expressions over a row) is
+computed before, in built-in expressions.
+
+Over a stream, a supergroup's sample is kept in the state store, and a window is reported when its supergroup's
+next one begins; rows of windows before it come too late and are dropped. A micro-batch's rows of one supergroup are
+sorted in memory: maxFilesPerTrigger bounds them.
 """
 
 from __future__ import annotations
@@ -10,7 +15,9 @@ from __future__ import annotations
 import operator
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from weir import types as T
@@ -133,6 +140,8 @@ class FlowSampling(SmartSampling):
 class LossyCounting:
     """Manku and Motwani's buckets: a bucket ends after `size` rows, and then groups seen too seldom are cleaned."""
 
+    CARRIES = False  # every window begins anew
+
     def __init__(self, old=None) -> None:
         self.count, self.bucket, self.due = 0, 1, False
 
@@ -235,6 +244,13 @@ class Machine:
                 if self.q.cleaning_by is not None and not self.eval(self.q.cleaning_by, None, dict(zip(names, k, strict=True)), self.groups[k]):
                     del self.groups[k]
 
+    def saved(self) -> bytes:
+        return cloudpickle.dumps((self.groups, self.states))
+
+    def restore(self, saved: bytes) -> Machine:
+        self.groups, self.states = cloudpickle.loads(saved)
+        return self
+
     def report(self, names: list[str]) -> Iterator[list]:
         for s in self.states.values():
             if hasattr(s, "begin_final"):
@@ -249,8 +265,6 @@ def sampling(lowering, q: S.Query, streams: dict):
     from weir.plans.lower import Stream, conjuncts, flat
 
     (alias, s), = streams.items()
-    if s.df.isStreaming:
-        raise T.TypeError_("sampling over a stream: run it on each micro-batch's window (foreachBatch)")
     registry = lowering.registry
     scope = lowering.scope(q, streams)
     stateful = lambda e: any(isinstance(x, S.Call) and x.name.lower() in registry.states for x in S.walk(e))
@@ -268,7 +282,7 @@ def sampling(lowering, q: S.Query, streams: dict):
     unknown = [n for n in q.supergroup if n not in keys]
     if unknown:
         raise T.TypeError_(f"SUPERGROUP {', '.join(unknown)}: not in GROUP BY")
-    names = list(keys)
+    names, falling = list(keys), [keys[n].moves == T.DECREASING for n in window]
     aggregates = list(dict.fromkeys(S.Call(e.name, e.args, e.star) for t in lowering.trees(q) for e in S.walk(t) if isinstance(e, S.Call) and e.name.lower() in S.AGGREGATES))
     leaves, columns, inputs = {}, {f"k_{n}": t.col for n, t in keys.items()}, []
     for a in aggregates:
@@ -291,42 +305,78 @@ def sampling(lowering, q: S.Query, streams: dict):
     rows = df.select(*(c.alias(n) for n, c in columns.items()), *(F.col(f"`{c}`").alias(f"o_{i}") for i, c in enumerate(order)))
     numeric = {n: F.col(n).cast("double") for n, t in rows.dtypes if t.startswith("decimal") and not n.startswith("o_")}
     rows = rows.withColumns(numeric) if numeric else rows
-    by = [f"k_{n}" for n in supers]
-    rows = rows.repartition(*by) if by else rows.repartition(1)  # one stream, as the state demands; the scan stays parallel
-    rows = rows.sortWithinPartitions(*by, *(f"k_{n}" for n in window), *(f"o_{i}" for i in range(len(order)))).select(*columns)
     out_names = lowering.names(q)
     kinds = [_kind(e, keys, scope, lowering) for e, _ in q.select]
     ddl = ", ".join(f"`{n}` {T.SPARK[k]}" for n, k in zip(out_names, kinds, strict=True))
     schema = {T.FLOAT: pa.float64(), T.STRING: pa.string(), T.BOOL: pa.bool_(), T.INT: pa.int32(), T.USHORT: pa.int32(), T.IPV6: pa.binary(), T.TIMEVAL: pa.timestamp("us", "UTC"), T.ULLONG: pa.decimal128(20, 0)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, at, done = None, None, []
+    def packed(done: list[list]) -> pa.RecordBatch:
+        cols = list(zip(*done, strict=True)) or [()] * len(out_names)
+        return pa.RecordBatch.from_arrays([pa.array([None if v is None else float(v) if k == T.FLOAT else v for v in c], schema.get(k, pa.int64())) for c, k in zip(cols, kinds, strict=True)], out_names)
 
-        def packed() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) or [()] * len(out_names)
-            arrays = [pa.array([None if v is None else float(v) if k == T.FLOAT else v for v in c], schema.get(k, pa.int64())) for c, k in zip(cols, kinds, strict=True)]
-            done.clear()
-            return pa.RecordBatch.from_arrays(arrays, out_names)
+    def begun(old: Machine | None = None) -> Machine:
+        return Machine(q, registry, leaves, aggregates, old)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, at, done = None, None, []
         for batch in batches:
             for row in batch.to_pylist():
                 here = tuple(row[f"k_{n}"] for n in supers), tuple(row[f"k_{n}"] for n in window)
                 if here != at:
                     if machine is not None:
                         done.extend(machine.report(names))
-                    machine = Machine(q, registry, leaves, aggregates, machine if at is not None and at[0] == here[0] else None)
-                    at = here
+                    machine, at = begun(machine if at is not None and at[0] == here[0] else None), here
                 machine.take(row, where, names, inputs)
                 if len(done) > 5000:
-                    yield packed()
+                    yield packed(done)
+                    done = []
         if machine is not None:
             done.extend(machine.report(names))
-        yield packed()
+        yield packed(done)
+
+    def live(_key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        machine, at = None, None
+        if state.exists:
+            saved, at = state.get
+            machine, at = begun().restore(bytes(saved)), cloudpickle.loads(bytes(at))
+        rows = pd.concat(list(frames))
+        order = [c for c in rows.columns if c.startswith("o_")]
+        rows = rows.sort_values([*(f"k_{n}" for n in window), *order], ascending=[*(not f for f in falling), *(True for _ in order)])
+        done = []
+        for row in rows.to_dict("records"):
+            here = tuple(row[f"k_{n}"] for n in window)
+            if at is not None and _before(here, at, falling):
+                continue
+            if here != at:
+                if machine is not None:
+                    done.extend(machine.report(names))
+                machine, at = begun(machine), here
+            machine.take(row, where, names, inputs)
+        state.update((machine.saved(), cloudpickle.dumps(at)))
+        yield packed(done).to_pandas()
 
-    df = rows.mapInArrow(run, ddl)
+    by = [f"k_{n}" for n in supers]
+    if rows.isStreaming:
+        df = rows.withColumn("_all", F.lit(0)).groupBy(*(by or ["_all"])).applyInPandasWithState(live, ddl, "machine binary, at binary", "append", "NoTimeout")
+    else:
+        called = {registry.states[x.name.lower()].make for t in lowering.trees(q) for x in S.walk(t) if isinstance(x, S.Call) and x.name.lower() in registry.states}
+        if not any(getattr(m, "CARRIES", True) for m in called):
+            by += [f"k_{n}" for n in window if n not in supers]
+        rows = rows.repartition(*by) if by else rows.repartition(1)  # one stream, as the state demands; the scan stays parallel
+        within = [F.col(f"k_{n}").desc() if f else F.col(f"k_{n}") for n, f in zip(window, falling, strict=True)]
+        rows = rows.sortWithinPartitions(*(f"k_{n}" for n in supers), *within, *(c for c in rows.columns if c.startswith("o_"))).select(*columns)
+        df = rows.mapInArrow(run, ddl)
     return Stream(df, dict(zip(out_names, kinds, strict=True)), {n: keys[e.name].moves for n, (e, _) in zip(out_names, q.select, strict=True) if isinstance(e, S.Col) and e.name in window}, disorder=s.disorder)
 
 
+def _before(a: tuple, b: tuple, falling: list[bool]) -> bool:
+    """Whether window a comes before window b."""
+    for x, y, f in zip(a, b, falling, strict=True):
+        if x != y:
+            return (x > y) == f
+    return False
+
+
 def _kind(e, keys, scope, lowering) -> str:
     if isinstance(e, S.Col):
         return keys[e.name].kind if e.name in keys else scope.column(e).kind

@@ -231,7 +231,7 @@ def _python_type(value) -> str:
 
 def _int_div(x: Column, y: Column, kind: str = T.LLONG) -> Column:
     """Division towards zero, as in C; by zero it is an error."""
-    return F.floor(x / y) if kind == T.ULLONG else F.call_function("div", x, y)
+    return (x - x % y) / y if kind == T.ULLONG else F.call_function("div", x, y)
 
 
 def _bits(op: str, a: Typed, b: Typed, kind: str) -> Column:

@@ -196,8 +196,11 @@ def flow_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LOSSY = "SELECT tb, user_id, count(*) AS n FROM events GROUP BY ts_sec/864000 AS tb, user_id SUPERGROUP tb, tb CLEANING_WHEN local_count(100) = 1 CLEANING_BY count(*) >= current_bucket()"
+
+
 def lossy_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).sql("SELECT tb, user_id, count(*) AS n FROM events GROUP BY ts_sec/864000 AS tb, user_id SUPERGROUP tb, tb CLEANING_WHEN local_count(100) = 1 CLEANING_BY count(*) >= current_bucket()")
+    return engine(spark, sf_dir).sql(LOSSY)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> Engine:
@@ -235,6 +238,18 @@ def stream_filter_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, _event_stream(spark, sf_dir).sql("SELECT ts_sec, event_id, user_id FROM events WHERE event_type = 'purchase'"))
 
 
+RUNNING = "SELECT tb, event_type, count(*) AS n, sum(user_id) AS s, moving_sum(user_id, 3) AS m FROM events WHERE event_type <> 'error' GROUP BY ts_sec/86400 AS tb, event_type CLOSING_WHEN sum(user_id) % 2 = 1"
+
+
+def stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts that run on until a day's sum is odd; moving sums begin anew then. The last day is still open."""
+    return _streamed(spark, _event_stream(spark, sf_dir).sql(RUNNING))
+
+
+def stream_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, _event_stream(spark, sf_dir).sql(LOSSY))
+
+
 @output("queue", "word string")
 class Words(Flowlet):
     @process_input()
@@ -273,6 +288,16 @@ MORE: dict[str, tuple[Callable, str | None]] = {
     "lossy_counting": (lossy_counting, None),
     "stream_epoch_agg": (stream_epoch_agg, f"WITH t AS (SELECT ({SEC}) // 3600 AS tb, event_type FROM events) SELECT tb, event_type, count(*) AS cnt FROM t WHERE tb < (SELECT max(tb) FROM t) GROUP BY ALL"),
     "stream_join": (stream_join, f"{_WITH} SELECT a.h, a.event_id AS ea, b.event_id AS eb FROM a JOIN b ON a.h = b.h"),
+    "stream_running": (
+        stream_running,
+        f"""WITH p AS (SELECT ({SEC}) // 86400 AS tb, event_type, count(*) AS n, sum(user_id)::BIGINT AS s FROM events WHERE event_type <> 'error' GROUP BY ALL),
+d AS (SELECT unnest(range((SELECT min(tb) FROM p), (SELECT max(tb) FROM p))) AS tb),
+w AS (SELECT d.tb, t.event_type, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(n, 0) > 0 AS own FROM d CROSS JOIN (SELECT DISTINCT event_type FROM p) t LEFT JOIN p USING (tb, event_type)),
+l AS (SELECT *, coalesce(sum((s % 2 = 1)::INT) OVER (PARTITION BY event_type ORDER BY tb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM w),
+b AS (SELECT *, bool_or(own) OVER (PARTITION BY event_type, life ORDER BY tb) AS begun FROM l)
+SELECT tb, event_type, n, s, (sum(s) OVER (PARTITION BY event_type, life ORDER BY tb ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS m FROM b WHERE begun""",
+    ),
+    "stream_sampling": (stream_sampling, None),
     "stream_filter_sink": (stream_filter_sink, f"SELECT {SEC} AS ts_sec, event_id, user_id FROM events WHERE event_type = 'purchase'"),
     "flow_wordcount": (flow_wordcount, r"SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[^\x21-\x7E]+', ' ', 'g'), ' ')) AS word FROM conversations) WHERE word <> '' GROUP BY ALL"),
     "flow_projection": (flow_projection, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, NULL::INTEGER AS missing FROM nation"),

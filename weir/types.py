@@ -64,16 +64,23 @@ def empty(kind: str) -> Column:
     return F.lit({BOOL: False, FLOAT: 0.0, STRING: ""}.get(kind, 0)).cast(SPARK[kind])
 
 
+def least_value(kind: str):
+    """The least value of a type, as Python has it; None where the type has none."""
+    return {BOOL: False, USHORT: 0, UINT: 0, ULLONG: Decimal(0), IP: 0, INT: -(1 << 31), LLONG: -(1 << 63), FLOAT: -1.7976931348623157e308, STRING: "", IPV6: bytes(16)}.get(kind)
+
+
+def greatest_value(kind: str):
+    return {BOOL: True, USHORT: (1 << 16) - 1, UINT: WORD - 1, ULLONG: Decimal((1 << 64) - 1), IP: WORD - 1, INT: (1 << 31) - 1, LLONG: (1 << 63) - 1, FLOAT: 1.7976931348623157e308, IPV6: b"\xff" * 16}.get(kind)
+
+
 def least(kind: str) -> Column:
-    values = {BOOL: False, USHORT: 0, UINT: 0, ULLONG: 0, IP: 0, INT: -(1 << 31), LLONG: -(1 << 63), FLOAT: -1.7976931348623157e308, STRING: ""}
-    return F.lit(values[kind]).cast(SPARK[kind]) if kind in values else empty(kind)
+    value = least_value(kind)
+    return empty(kind) if value is None else F.lit(value).cast(SPARK[kind])
 
 
 def greatest(kind: str) -> Column:
-    values = {BOOL: True, USHORT: (1 << 16) - 1, UINT: WORD - 1, ULLONG: Decimal((1 << 64) - 1), IP: WORD - 1, INT: (1 << 31) - 1, LLONG: (1 << 63) - 1, FLOAT: 1.7976931348623157e308}
-    if kind == IPV6:
-        return F.lit(b"\xff" * 16)
-    return F.lit(values[kind]).cast(SPARK[kind]) if kind in values else empty(kind)
+    value = greatest_value(kind)
+    return empty(kind) if value is None else F.lit(value).cast(SPARK[kind])
 
 
 def arithmetic(op: str, a: str, b: str) -> str:
