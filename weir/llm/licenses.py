@@ -32,7 +32,7 @@ TEMPLATES = {
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without written permission."],
 }
-#: A passage is compared line by line in steps of a line, and over this many words from each trigger.
+#: Passages grow line by line (blank ones left out) until they have this many words.
 NEAR, THRESHOLD = 48, 0.6
 #: Directories (two paths and a name each) that may be broadcast.
 SMALL = 200_000
@@ -81,7 +81,7 @@ class Templates:
         best: tuple[float, str | None] = (0.0, None)
         if not _TRIGGER.search(text):
             return best
-        lines = text.split("\n")
+        lines = [line for line in text.split("\n") if line.strip()]
         for i, line in enumerate(lines):
             if not _TRIGGER.search(line):
                 continue
