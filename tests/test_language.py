@@ -202,6 +202,8 @@ def test_operators_on_values(spark):
     assert one("t + 1500").replace(tzinfo=timezone.utc).timestamp() == 101.5 and one("t - TIMEVAL '99.250'") == 750 and one("t / 4").replace(tzinfo=timezone.utc).timestamp() == 25
     assert one("w / 2") == (1 << 63) - 1 and one("w / (w + 1)") == 0 and one("(w + 1) / w") == 1 and one("w + 1") == (1 << 64) - 1 and one("LHEX 'ffffffffff' & 255") == 255
     assert one("1.5e1 * h") == 45.0 and one("'it''s'") == "it's" and one("INT(u) - 9") == -2 and one("ULLONG(i)") == (1 << 64) - 7
+    option = lambda text, n: e.sql(f"SELECT has_ipv4_option('{text}', {n}) AS r FROM v").first().r
+    assert [option("", 1), option("\x01\x01\x07\x04ab\x08", 8), option("\x01\x07\x04ab\x03", 3), option("\x07\x04ab\x03", 9), option("\x87\x03ab", 7), option("\x02\x08", 8), option("\x03\x00\x08", 8)] == [0, 1, 1, 0, 1, 0, 0]
     for bad in ("six + 1", "b + 1", "t * 2", "'a' & 1", "u << w", "nothing(u)", "strtoi(u)", "sum(sum(u))", "$p", "@x"):
         with pytest.raises((T.TypeError_, S.SyntaxError_)):
             one(bad)

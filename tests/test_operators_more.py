@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weir import queries
 from weir import types as T
-from weir.operators.sinks import bucketed, parse_specs, to_function, write
+from weir.operators.sinks import bucketed, by_batch, outputs, parse_specs, to_function, write
 from weir.session import Engine
 from weir.streaming.app import INCREASING, StreamApp, StreamSchema
 from weir.streaming.flow import IGNORE, Flow, Flowlet, output, process_input, projected, start_ticks, tick
@@ -172,6 +172,20 @@ def test_sinks(engine, tmp_path, spark):
     seen = []
     to_function(s.df, seen.append)
     assert len(seen) == len(DATA)
+    engine.sql("DEFINE { query_name 'a'; } SELECT t, k FROM s; DEFINE { query_name 'b'; } SELECT t, v FROM s WHERE v > 3")
+    shown = outputs(engine, f"a,zfile,bz2,{tmp_path},10,,\nb,stream,,,,,", form="text")
+    assert list(shown) == ["b"] and shown["b"].count() == 3
+    assert sum(1 for _ in (tmp_path / "a" / "bucket=0").glob("*.bz2")) == 1 and spark.read.text(str(tmp_path / "a")).count() == len(DATA)
+    with pytest.raises(T.TypeError_):
+        outputs(engine, "nobody,stream,,,,,")
+
+
+def test_batches_count_once(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    for checkpoint in ("one", "two"):  # the second run has forgotten the first, as after a lost commit
+        by_batch(source(), str(tmp_path / "out"), str(tmp_path / checkpoint))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(6))
 
 
 @output("even", "n int")
@@ -186,6 +200,7 @@ class Split(Flowlet):
     @process_input("numbers")
     def one(self, record, context):
         n = record["n"] + self.add
+        self.count("seen")
         if n > self.limit:
             raise ValueError("too large")
         self.emit({"n": n}, "even") if n % 2 == 0 else self.emit({"n": n, "text": context.origin}, "odd")
@@ -207,6 +222,7 @@ def test_flow(spark):
     assert rows(out["split"]["odd"]) == [(n, "numbers") for n in (3, 5, 7, 9)]
     sums = out["sum"]["queue"].collect()
     assert sum(r.total for r in sums) == 44 and sum(r.many for r in sums) == 8 and max(r.many for r in sums) <= 3
+    assert flow.metrics()["split.seen"] >= 8 and flow.metrics()["split.seen"] % 8 == 0  # 2 of 10 failed
     assert flow.specification()["connections"] == [("numbers", "split", None), ("split", "sum", None)]
     with pytest.raises(ValueError):
         flow.connect("nobody", "sum")

@@ -124,6 +124,24 @@ def _strtoi(s: Column) -> Column:
     return F.regexp_substr(s, F.lit("[0-9]+")).try_cast("bigint")
 
 
+def _has_option(options: Column, wanted: Column) -> Column:
+    """Whether a list of IPv4 options (characters are bytes, 40 at most) has one of that number (the low 5 bits of its kind).
+
+    Fixed lengths: end of list 0, padding 1, security 2 (11 bytes), stream 8 (4 bytes); 3, 4, 7 and 9 say their own; others end the search.
+    """
+    byte = lambda at: F.ascii(F.substring(options, at + 1, F.lit(1))).bitwiseAND(F.lit(255))
+
+    def step(state: Column, _) -> Column:
+        kind, at = byte(state.at).bitwiseAND(F.lit(31)), state.at
+        size = F.when(kind == 1, 1).when(kind == 2, 11).when(kind == 8, 4).when(kind.isin(3, 4, 7, 9) & (at + 1 < F.length(options)), byte(at + 1)).otherwise(0)
+        hit = kind == wanted
+        over = hit | (size == 0) | (at + size >= F.length(options))
+        return F.when(state.ended, state).otherwise(F.struct((at + size).cast("int").alias("at"), over.alias("ended"), hit.alias("hit")))
+
+    start = F.struct(F.lit(0).alias("at"), (options == "").alias("ended"), F.lit(False).alias("hit"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step).hit.cast("bigint")
+
+
 def moving(values: Column, n: int, alpha: float = 1.0) -> Column:
     """Sum of the last n of an array of epoch values, newest last, weighted by alpha to the power of their age."""
     last = F.slice(F.reverse(values), 1, n)
@@ -161,7 +179,9 @@ def default_registry() -> Registry:
     s("strtoi_c", [T.STRING], T.UINT, lambda a: F.coalesce(_strtoi(F.lit(a)), F.lit(0).cast("bigint")), constant=(0,))
     s("strtoip_c", [T.STRING], T.IP, lambda a: F.coalesce(_strtoip(F.lit(a)), F.lit(0).cast("bigint")), constant=(0,))
     s("partn_hash", [T.IP, T.IP], T.UINT, lambda a, b: a.bitwiseXOR(b))
-    s("rand_hash", [], T.UINT, lambda: F.floor(F.rand() * T.WORD).cast("bigint"))
+    for name in ("rand_hash", "lc_rand"):
+        s(name, [], T.UINT, lambda: F.floor(F.rand() * T.WORD).cast("bigint"))
+    s("has_ipv4_option", [T.STRING, T.UINT], T.UINT, _has_option)
 
     a = r.register_aggregate
     for name in ("avg_udaf", "extr_avg"):

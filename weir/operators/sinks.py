@@ -72,13 +72,35 @@ def write(stream: Stream, spec: OutputSpec, path: str | None = None, form: str =
     if form == "text":
         df = df.select("bucket", "value")
     path = path or f"{spec.directory}/{spec.query}"
-    zipped = {"compression": "gzip"} if spec.operator == "zfile" or "gz" in spec.param else {}
+    zipped = {"compression": "bzip2"} if "bz2" in spec.param and form == "text" else {"compression": "gzip"} if spec.operator == "zfile" or "gz" in spec.param else {}
     if df.isStreaming:
         return df.writeStream.format(form).options(path=path, checkpointLocation=checkpoint, **zipped).partitionBy("bucket").trigger(availableNow=True).start()
     df.write.mode("append").format(form).options(**zipped).partitionBy("bucket").save(path)
     return None
 
 
+def outputs(engine, text: str, form: str = "parquet", checkpoint: str | None = None) -> dict[str, DataFrame]:
+    """Carry out the lines of an output file over an engine's named queries: `file` and `zfile` lines are written, `stream` lines given back."""
+    visible = {}
+    for spec in parse_specs(text):
+        stream = engine.catalog.streams.get(spec.query)
+        if stream is None:
+            raise T.TypeError_(f"no query {spec.query}")
+        if spec.operator == "stream":
+            visible[spec.query] = stream.df
+            continue
+        started = write(stream, spec, form=form, checkpoint=f"{checkpoint}/{spec.query}" if checkpoint else None)
+        if started is not None:
+            started.awaitTermination()
+    return visible
+
+
+def by_batch(df: DataFrame, path: str, checkpoint: str) -> None:
+    """A stream's micro-batches, each in a folder batch=N that a repeated batch replaces: each result counts once, whatever fails."""
+    save = lambda part, n: part.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def console(stream: Stream, rows: int = 20) -> None:
     text_lines(stream).show(rows, truncate=False)
 

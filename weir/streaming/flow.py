@@ -7,10 +7,12 @@ outputs. A flow lowers to one DataFrame plan per output; each flowlet is one Arr
 from __future__ import annotations
 
 import inspect
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,6 +52,15 @@ def tick(seconds: float, initial_delay: float = 0.0, max_retries: int = 5):
     return mark
 
 
+class _Counts(AccumulatorParam):
+    def zero(self, _value) -> Counter:
+        return Counter()
+
+    def addInPlace(self, a: Counter, b: Counter) -> Counter:  # noqa: N802
+        a.update(b)
+        return a
+
+
 @dataclass
 class InputContext:
     origin: str
@@ -57,7 +68,10 @@ class InputContext:
 
 
 class Flowlet:
-    """Base of user code. properties: keyword arguments, checked against class annotations. Emit with self.emit(record, output, key)."""
+    """Base of user code. properties: keyword arguments, checked against class annotations. Emit with self.emit(record, output).
+
+    self.count(name, delta) adds to the flow's metrics; what a failed attempt counted doesn't count.
+    """
 
     _outputs: dict[str, str] = {}
     failure_policy = RETRY
@@ -86,6 +100,9 @@ class Flowlet:
     def emit(self, record, output: str | None = None) -> None:
         self._sink(record, output)
 
+    def count(self, name: str, delta: int = 1) -> None:
+        self.__dict__.setdefault("_counts", Counter())[name] += delta
+
 
 @dataclass
 class _Node:
@@ -102,6 +119,7 @@ class Flow:
         self.name, self.description = name, description
         self.nodes: dict[str, _Node] = {}
         self.sources: dict[str, DataFrame] = {}
+        self._counts = None
 
     def add(self, name: str, flowlet: Flowlet, instances: int = 1) -> Flow:
         if name in self.nodes or name in self.sources:
@@ -128,7 +146,13 @@ class Flow:
     def specification(self) -> dict:
         return {"name": self.name, "description": self.description, "flowlets": {n: {"class": type(x.flowlet).__name__, "instances": x.instances} for n, x in self.nodes.items()}, "connections": [(a, n, o) for n, x in self.nodes.items() for a, o in x.inputs]}
 
+    def metrics(self) -> dict[str, int]:
+        """What flowlets counted, by flowlet.name, over all runs of the plans that were built; a task that is run again counts again."""
+        return dict(self._counts.value) if self._counts is not None else {}
+
     def build(self, arguments: dict | None = None) -> dict[str, dict[str, DataFrame]]:
+        if self._counts is None and self.sources:
+            self._counts = next(iter(self.sources.values())).sparkSession.sparkContext.accumulator(Counter(), _Counts())
         done: dict[str, dict[str, DataFrame]] = {}
         busy: set[str] = set()
 
@@ -149,7 +173,7 @@ class Flow:
                 for o, df in found.items():
                     if out in (None, o):
                         feeds.append((origin, o, df))
-            done[name] = _lower(node, feeds, dict(arguments or {}))
+            done[name] = _lower(node, feeds, dict(arguments or {}), self._counts)
             return done[name]
 
         for n in self.nodes:
@@ -164,7 +188,7 @@ def _methods(flowlet: Flowlet) -> list[tuple[Callable, tuple]]:
     return found
 
 
-def _lower(node: _Node, feeds: list[tuple[str, str, DataFrame]], arguments: dict) -> dict[str, DataFrame]:
+def _lower(node: _Node, feeds: list[tuple[str, str, DataFrame]], arguments: dict, metrics=None) -> dict[str, DataFrame]:
     """One pass for all inputs: rows carry their origin; emitted rows carry their output."""
     flowlet = node.flowlet
     outputs = {o: _parse_datatype_string(ddl) for o, ddl in (type(flowlet)._outputs or {"queue": "value string"}).items()}
@@ -183,13 +207,14 @@ def _lower(node: _Node, feeds: list[tuple[str, str, DataFrame]], arguments: dict
         union = p if union is None else union.unionByName(p, allowMissingColumns=True)
     out_type = StructType([StructField("_to", _parse_datatype_string("string")), *(StructField(o, t) for o, t in outputs.items())])
     arrow = to_arrow_schema(out_type)
-    names = list(outputs)
+    names, flowlet_name = list(outputs), node.name
     routes = {(origin, out): [(m.__name__, p) for m, p in _methods(flowlet) if not p[0] or origin in p[0] or out in p[0]] for origin, out, _ in feeds}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
         own = copy.copy(flowlet)
+        own._counts = Counter()
         emitted: list[dict] = []
 
         def sink(record, output=None):
@@ -206,13 +231,14 @@ def _lower(node: _Node, feeds: list[tuple[str, str, DataFrame]], arguments: dict
 
         def attempt(method, record, context) -> None:
             while True:
-                mark = len(emitted)
+                mark, counted = len(emitted), Counter(own._counts)
                 try:
                     method(record, context) if len(inspect.signature(method).parameters) > 1 else method(record)
                     own.on_success(record, context)
                     return
                 except Exception as e:
                     del emitted[mark:]  # what a failed attempt emitted doesn't count
+                    own._counts = counted
                     if context.retries >= own.max_retries or own.failure_policy == IGNORE:
                         if own.on_failure(record, context, e) == IGNORE:
                             return
@@ -240,6 +266,8 @@ def _lower(node: _Node, feeds: list[tuple[str, str, DataFrame]], arguments: dict
                     emitted.clear()
         finally:
             own.destroy()
+            if metrics is not None and own._counts:
+                metrics.add(Counter({f"{flowlet_name}.{name}": n for name, n in own._counts.items()}))
 
     done = union.mapInArrow(run, out_type)
     return {o: done.where(F.col("_to") == o).select(f"`{o}`.*") for o in names}
