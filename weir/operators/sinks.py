@@ -83,7 +83,7 @@ def outputs(engine, text: str, form: str = "parquet", checkpoint: str | None = N
     """Carry out the lines of an output file over an engine's named queries: `file` and `zfile` lines are written, `stream` lines given back."""
     visible = {}
     for spec in parse_specs(text):
-        stream = engine.catalog.streams.get(spec.query)
+        stream = engine.catalog.named(spec.query)
         if stream is None:
             raise T.TypeError_(f"no query {spec.query}")
         if spec.operator == "stream":

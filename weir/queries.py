@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir import types as T
+from weir.plans.lower import Stream
 from weir.session import Engine
 from weir.streaming.flow import Flow, Flowlet, output, process_input, projected
 from weir.tables import folder
@@ -29,17 +30,23 @@ def _seconds(events: DataFrame):
 
 
 def engine(spark: SparkSession, sf_dir: str, **settings) -> Engine:
-    """All tables as streams; events with ts_sec, whole seconds, increasing."""
+    """All tables as streams, read when a query names them; events with ts_sec, whole seconds, increasing."""
     e = Engine(spark, **settings)
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+
+    def add(name: str, columns: list[str] | None = None, kinds: dict[str, str] | None = None, increasing=()) -> None:
+        def load() -> Stream:
+            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            df = df.withColumn("ts_sec", _seconds(df)) if name == "events" else df.select(*columns) if columns else df
+            return Stream.of(df, kinds, increasing)
+
+        e.catalog.register(name, load)
+
     for t in TABLES:
-        df = read(t)
-        e.register_table(t, df, KINDS.get(t, {}), {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"]}.get(t, ()))
-    events = read("events").withColumn("ts_sec", _seconds(read("events")))
-    e.register_table("events", events, {"ts_sec": "uint", "user_id": "uint", "event_id": "uint"}, ["ts_sec"])
-    e.register_table("documents", read("documents").select("doc_id", "text", "lang", "source"), {"doc_id": "uint"})
-    e.register_table("pages", read("pages").select("page_id", "url"), {"page_id": "uint"})
-    e.register_table("conversations", read("conversations"), {"conv_id": "uint", "turn": "uint"}, ["turn"])
+        add(t, None, KINDS.get(t, {}), {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"]}.get(t, ()))
+    add("events", None, {"ts_sec": "uint", "user_id": "uint", "event_id": "uint"}, ["ts_sec"])
+    add("documents", ["doc_id", "text", "lang", "source"], {"doc_id": "uint"})
+    add("pages", ["page_id", "url"], {"page_id": "uint"})
+    add("conversations", None, {"conv_id": "uint", "turn": "uint"}, ["turn"])
     return e
 
 

@@ -39,7 +39,7 @@ class Catalog:
         self.schemas: dict[str, S.Schema] = {}
         self.interfaces: dict[str, Interface] = {}
         self.sets: dict[str, Callable[[Interface], bool]] = {}
-        self.streams: dict[str, Stream] = {}
+        self.streams: dict[str, Stream | Callable[[], Stream]] = {}
         self.library: dict[str, str] = {}
         self.operators: dict[str, Callable] = {}
         #: What `get_system_time` fields hold: an integer for repeatable runs, or None for the clock.
@@ -85,21 +85,28 @@ class Catalog:
         for p in Path(folder).glob(f"*{suffix}"):
             self.library[f"{name}/{p.stem}"] = p.read_text()
 
-    def register(self, name: str, stream: Stream) -> None:
+    def register(self, name: str, stream: Stream | Callable[[], Stream]) -> None:
+        """A stream by name, or what makes it when a query first reads it."""
         self.streams[name] = stream
 
+    def named(self, name: str) -> Stream | None:
+        found = self.streams.get(name)
+        if callable(found):
+            found = self.streams[name] = found()
+        return found
+
     # -- resolution
 
     def stream(self, table: S.Table) -> Stream | None:
         """The stream that a FROM item names, or None if it must be built from a query."""
         if table.set_ is None and table.interface is None:
             if table.name in self.streams:
-                return self.streams[table.name]
+                return self.named(table.name)
             if table.name in self.schemas and self.schemas[table.name].kind == "OPERATOR_VIEW":
                 return None
             folded = {k.lower(): k for k in self.streams}
             if table.name.lower() in folded:
-                return self.streams[folded[table.name.lower()]]
+                return self.named(folded[table.name.lower()])
             if table.name in self.schemas and len(self.interfaces) == 1:
                 return self.read(next(iter(self.interfaces.values())), table.name)
             return None
@@ -111,7 +118,7 @@ class Catalog:
         else:
             if table.interface not in self.interfaces:
                 if table.interface in self.streams or f"{table.interface}.{table.name}" in self.streams:
-                    return self.streams.get(f"{table.interface}.{table.name}") or self.streams[table.interface]
+                    return self.named(f"{table.interface}.{table.name}") or self.named(table.interface)
                 raise T.TypeError_(f"no interface {table.interface}")
             members = [self.interfaces[table.interface]]
             if table.machine and members[0].host != table.machine:
