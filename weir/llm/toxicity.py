@@ -127,7 +127,10 @@ def fit(names: list[str], docs: list[list[int]], y: np.ndarray, pairs: list[tupl
         return x
 
     x = rows(docs)
-    change = rows([a for a, _ in pairs]) - rows([b for _, b in pairs])
+    change = rows([a for a, _ in pairs])  # in place: every text may name identity terms
+    change[:, -1] = 0
+    for r, (_, b) in enumerate(pairs):
+        change[r, b] -= 1
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5  # half way to balanced classes
     y, weight = y.astype("f4"), weight.astype("f4")
     w, v = np.zeros(x.shape[1], "f4"), np.zeros(x.shape[1], "f4")  # single precision throughout: no copies of x
