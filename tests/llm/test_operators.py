@@ -302,6 +302,14 @@ def test_swapped_identities_move_the_score_less(spark):
     assert gap(without) > 0.3 and gap(with_) < 0.1 < with_.score("you idiot") - with_.score("you there")
 
 
+def test_weights_stay_finite_when_swaps_keep_the_number_of_features():
+    rng = np.random.default_rng(1)
+    docs = [sorted(set(rng.integers(0, 40, 8).tolist())) for _ in range(300)]
+    y = np.array([float(3 in d) for d in docs])
+    model = toxicity.fit([f"f{i}" for i in range(40)], docs, y, [(d, sorted({(x + 1) % 40 for x in d})) for d in docs[:50]], swap=0.05)
+    assert np.isfinite([model.bias, *model.weights.values()]).all() and max(model.weights, key=model.weights.get) == "f3"
+
+
 # ---- URLs
 
 
