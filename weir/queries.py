@@ -241,6 +241,17 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, _event_stream(spark, sf_dir).sql(_PAIR + "SELECT A.h, A.event_id AS ea, B.event_id AS eb INNER_JOIN FROM buys A, looks B WHERE A.h = B.h"))
 
 
+def stream_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases without a view in their hour are reported when both streams have passed it."""
+    return _streamed(spark, _event_stream(spark, sf_dir).sql(_PAIR + "SELECT A.h, A.user_id AS ua, B.user_id AS ub, A.event_id AS ea, B.event_id AS eb LEFT_OUTER_JOIN FROM buys A, looks B WHERE A.h = B.h and A.user_id = B.user_id"))
+
+
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts over a merge of two streams."""
+    text = _THREE + "DEFINE { query_name 'm'; } MERGE R.ts_sec : S.ts_sec SLACK 2 FROM m1 R, m2 S; SELECT tb, count(*) AS cnt FROM m GROUP BY ts_sec/86400 AS tb"
+    return _streamed(spark, _event_stream(spark, sf_dir).sql(text))
+
+
 def stream_filter_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, _event_stream(spark, sf_dir).sql("SELECT ts_sec, event_id, user_id FROM events WHERE event_type = 'purchase'"))
 
@@ -305,6 +316,11 @@ b AS (SELECT *, bool_or(own) OVER (PARTITION BY event_type, life ORDER BY tb) AS
 SELECT tb, event_type, n, s, (sum(s) OVER (PARTITION BY event_type, life ORDER BY tb ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS m FROM b WHERE begun""",
     ),
     "stream_sampling": (stream_sampling, None),
+    "stream_left_join": (
+        stream_left_join,
+        f"{_WITH}, w AS (SELECT least((SELECT max(h) FROM a), (SELECT max(h) FROM b)) AS h) SELECT a.h, a.user_id AS ua, coalesce(b.user_id, a.user_id) AS ub, a.event_id AS ea, coalesce(b.event_id, 0) AS eb FROM a LEFT JOIN b ON a.h = b.h AND a.user_id = b.user_id WHERE b.h IS NOT NULL OR a.h < (SELECT h FROM w)",
+    ),
+    "stream_merge": (stream_merge, f"WITH t AS (SELECT ({SEC}) // 86400 AS tb FROM events WHERE event_type IN ('view', 'purchase')) SELECT tb, count(*) AS cnt FROM t WHERE tb < (SELECT max(tb) FROM t) - 1 GROUP BY ALL"),
     "stream_filter_sink": (stream_filter_sink, f"SELECT {SEC} AS ts_sec, event_id, user_id FROM events WHERE event_type = 'purchase'"),
     "flow_wordcount": (flow_wordcount, r"SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[^\x21-\x7E]+', ' ', 'g'), ' ')) AS word FROM conversations) WHERE word <> '' GROUP BY ALL"),
     "flow_projection": (flow_projection, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, NULL::INTEGER AS missing FROM nation"),
