@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.shared import open_fs, scratch
+from weir.llm.shared import open_fs, scratch, settle, small_batches
 
 #: Words of a training shard (about 50 bytes of memory each), and of a block of benchmark items.
 SHARD, BLOCK = 1_000_000, 1_000_000
@@ -283,8 +283,9 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard: int
                 hits = np.add.reduceat(covered.astype("i8"), begins)
             named = [sorted({str(i) for i in found if i is not None}) for found in items]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()), pa.array(named, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+        settle()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_words long, n_hit long, items array<string>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, at_least: int = 13, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -314,7 +315,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, at_least: int = 13, s
                     ["item_id", "item_start", "doc_id", "doc_start", "length"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "item_id long, item_start long, doc_id long, doc_start long, length long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "item_id long, item_start long, doc_id long, doc_start long, length long")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
@@ -350,5 +351,6 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFram
                 hits = np.add.reduceat(covered.astype("i8"), begins[:-1])
                 keep = ~((hits > 0) & (20 * hits >= lengths))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in some.columns], names)
+        settle()
 
-    return docs.mapInArrow(rows, ddl)
+    return small_batches(docs).mapInArrow(rows, ddl)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.shared import written
+from weir.llm.shared import small_batches, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -356,7 +356,7 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
         if held:
             yield hand_on()
 
-    own = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
+    own = small_batches(pages).select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
     parts = own.mapInArrow(first, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "salt")
     joined = salted.applyInArrow(_joined, "host string, wrapper string")

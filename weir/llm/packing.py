@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm import tokens
-from weir.llm.shared import written
+from weir.llm.shared import small_batches, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -63,8 +63,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Documents as token pieces of at most `capacity`: doc_id, piece, start, length, ids_crc32 (and ids, if asked for).
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False, memory: int = tokens.MEMORY) -> DataFrame:
+    """Documents as token pieces of at most `capacity`: doc_id, piece, start, length, ids_crc32 (and ids, if asked for). memory: words that a worker remembers.
 
     A null text counts as empty: its one piece is the end id. Other columns are ignored.
     """
@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(spec).encode
+        encode = tokens.encoder(spec, memory).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names[: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:

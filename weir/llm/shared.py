@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -11,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled at once inside a Python worker; long texts are counted by SLICE_BYTES as well.
-SLICE_ROWS = 512
+#: Rows handled at once inside a Python worker, and rows and bytes of an Arrow batch sent to one.
+SLICE_ROWS, BATCH_ROWS, BATCH_BYTES = 512, 1024, 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,31 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python workers Arrow batches of BATCH_ROWS and BATCH_BYTES at most (a session's smaller limits stay).
+
+    Texts are long: batches of Spark's usual 10,000 rows would hold tens of MB in the JVM and again in each worker.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _count(conf.get(key)) <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def _count(text: str) -> int:
+    """A setting that may have a unit of bytes, as a number."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", text.strip().lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 0
+
+
+def settle() -> None:
+    """Give back memory that a task has freed: workers live on, and the next stage's need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch], size: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow with batches cut to `size` rows, so that a worker holds little at a time."""
 
@@ -61,8 +88,9 @@ def map_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], pa.Re
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 yield rows(batch.slice(at, size))
+        settle()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def fold(doc_id: str, modulus: int):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import tokens
-from weir.llm.shared import open_fs
+from weir.llm.shared import open_fs, small_batches
 
 SHARD = "shard long, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -71,7 +71,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> list
         fs.move(f"{part}.ids", f"{name}.ids")
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64())], ["shard", "docs", "tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     shards = sorted((r.asDict() for r in ordered.mapInArrow(shard, SHARD).collect()), key=lambda r: r["shard"])
     total = 0
     for s in shards:  # the prefix sums

@@ -59,7 +59,8 @@ class Encoder:
     The names of special tokens inside a text are ordinary text, as in data that others wrote.
     """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, memory: int = MEMORY) -> None:
+        self.memory = memory
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.kind = kind_of(json.loads(spec))
@@ -101,7 +102,7 @@ class Encoder:
         return out
 
     def _learn(self, missing: list[str], lead: str) -> None:
-        if len(self.words) > MEMORY:
+        if len(self.words) > self.memory:
             self.older, self.words = self.words, {}
         new = []
         for w in dict.fromkeys(missing):
@@ -154,15 +155,15 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, memory: int = MEMORY) -> Encoder:
     """The Python worker's encoder for this tokenizer file's content."""
-    key = hash(spec)
+    key = hash(spec), memory
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec)
+        _ENCODERS[key] = Encoder(spec, memory)
     return _ENCODERS[key]
 
 
