@@ -30,8 +30,10 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0.", "The person who associated a work with this deed has dedicated the work to the public domain"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "Proprietary": ["All rights reserved. No part of this work may be reproduced without written permission."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission."],
 }
+#: Stands beside open licenses too, so it counts only where no other template reaches the threshold.
+WEAK = "All rights reserved."
 #: Passages grow line by line (blank ones left out) until they have this many words.
 NEAR, THRESHOLD = 48, 0.6
 #: Directories (two paths and a name each) that may be broadcast.
@@ -56,26 +58,36 @@ class Templates:
         self.idf = {w: math.log((1 + len(listed)) / (1 + n)) + 1 for w, n in seen.items()}
         self.unknown = math.log(1 + len(listed)) + 1
         self.names = [name for name, _ in listed]
+        self.weak = {k for k, (_, counts) in enumerate(listed) if counts == terms(WEAK)}
         self.index: dict[str, list[tuple[int, float]]] = {}
         for k, (_, counts) in enumerate(listed):
             size = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in counts.items()))
             for w, n in counts.items():
                 self.index.setdefault(w, []).append((k, n * self.idf[w] / size))
 
-    def best(self, text: str) -> tuple[float, str | None]:
-        """The highest cosine, and its license; of equals the first name."""
+    def best(self, text: str, weak: bool = True) -> tuple[float, str | None]:
+        """The highest cosine, and its license; of equals the first name. The weak template can be left out."""
         counts = terms(text)
         size = math.sqrt(sum((n * self.idf.get(w, self.unknown)) ** 2 for w, n in counts.items()))
         scores: Counter = Counter()
         for w, n in counts.items():
             for k, weight in self.index.get(w, ()):
-                scores[k] += n * self.idf[w] * weight
+                if weak or k not in self.weak:
+                    scores[k] += n * self.idf[w] * weight
         if not scores:
             return 0.0, None
         k = min(scores, key=lambda k: (-round(scores[k], 12), self.names[k], k))
         return scores[k] / size, self.names[k]
 
-    def scan(self, text: str | None) -> tuple[float, str | None]:
+    def scan(self, text: str | None, threshold: float = THRESHOLD) -> tuple[float, str | None]:
+        """The best over all passages, without the weak template where another reaches the threshold."""
+        best = self._scan(text)
+        if best[1] is not None and any(self.names[k] == best[1] for k in self.weak):
+            other = self._scan(text, False)
+            return other if other[0] >= threshold else best
+        return best
+
+    def _scan(self, text: str | None, weak: bool = True) -> tuple[float, str | None]:
         """The best over the whole text: its lines that hold a trigger word, and passages that begin with such a line."""
         text = text or ""
         best: tuple[float, str | None] = (0.0, None)
@@ -92,7 +104,7 @@ class Templates:
                 passages.append(around)
                 j += 1
             for passage in passages:
-                found = self.best(passage)
+                found = self.best(passage, weak)
                 if found[0] > best[0] + 1e-12:
                     best = found
         return best
@@ -114,7 +126,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [templates.scan(t) for t in batch.column(at).to_pylist()]
+        found = [templates.scan(t, threshold) for t in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([name if s >= threshold else None for s, name in found], pa.string()), pa.array([s for s, _ in found], pa.float64())], [*batch.schema.names, "own_license", "own_score"])
 
     scanned = f"{ddl}, own_license string, own_score double"
