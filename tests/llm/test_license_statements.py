@@ -15,3 +15,22 @@ def test_reserved_rights(text):
 @pytest.mark.parametrize("name, text", [(n, t) for n, some in licenses.TEMPLATES.items() for t in some if n != "Proprietary"])
 def test_reserved_rights_yield_to_a_license(name, text):
     assert T.scan(f"Copyright 2020 Foo. All rights reserved.\n\n{text}")[1] == name
+
+
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+@pytest.mark.parametrize(
+    "name, text",
+    [
+        ("MPL-2.0", MPL),
+        ("MPL-2.0", "x = 1\n" * 50 + "\n".join("# " + line for line in MPL.split("\n")) + "\ny = 2" * 50),
+        ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the\npublic domain"),
+        ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public\ndomain"),
+        ("GPL-3.0", "Some words of a program that come first. This work is\nlicensed under the GNU General Public\nLicense, version 3. Other words of the program follow here."),
+        ("Proprietary", "# All rights\n# reserved."),
+    ],
+)
+def test_statements_over_line_ends(name, text):
+    score, found = T.scan(text)
+    assert found == name and score >= 0.9

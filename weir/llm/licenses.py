@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A file's license lines, wherever in the text, and the passages that begin with them are compared with license templates
+A file's license lines, wherever in the text, and the passages around them are compared with license templates
 as sparse TF-IDF vectors; the document frequencies are those of the templates, so a file's score never depends on what
 else is scanned. A file that says nothing itself takes what the licence files of the nearest directory above say: every
 file lists its ancestor directories, they are joined with the directories that have a licence, and the deepest wins.
@@ -8,6 +8,8 @@ file lists its ancestor directories, they are joined with the directories that h
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -39,7 +41,8 @@ NEAR, THRESHOLD = 48, 0.6
 #: Directories (two paths and a name each) that may be broadcast.
 SMALL = 200_000
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
-_TRIGGER = re.compile(r"licen[cs]|copyright|permission|redistribut|rights reserved|spdx|public domain|released under|free software", re.I)
+_TRIGGER = re.compile(r"licen[cs]|copyright|permission|redistribut|rights{_}reserved|spdx|public{_}domain|released{_}under|free{_}software".replace("{_}", r"[\s#*/;-]+"), re.I)
+_SENTENCE = re.compile(r"(?<=[.;:])\s+")
 _LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice|unlicense)([-._][^/]*)?$"
 
 
@@ -88,28 +91,63 @@ class Templates:
         return best
 
     def _scan(self, text: str | None, weak: bool = True) -> tuple[float, str | None]:
-        """The best over the whole text: its lines that hold a trigger word, and passages that begin with such a line."""
-        text = text or ""
+        """The best over the passages of the whole text."""
         best: tuple[float, str | None] = (0.0, None)
-        if not _TRIGGER.search(text):
-            return best
-        lines = [line for line in text.split("\n") if line.strip()]
-        for i, line in enumerate(lines):
-            if not _TRIGGER.search(line):
-                continue
-            passages = [line, *re.split(r"(?<=[.;:])\s+", line)]
-            around, j = line, i + 1
-            while j < len(lines) and len(around.split()) < NEAR:
-                around += "\n" + lines[j]
-                passages.append(around)
-                j += 1
-            for passage in passages:
-                found = self.best(passage, weak)
-                if found[0] > best[0] + 1e-12:
-                    best = found
+        for passage in passages(text or ""):
+            found = self.best(passage, weak)
+            if found[0] > best[0] + 1e-12:
+                best = found
         return best
 
 
+def passages(text: str) -> dict[str, None]:
+    """Lines that hold a trigger word, their sentences, and passages around a trigger.
+
+    Those passages run from a line or sentence that begins up to NEAR words before the trigger to the end of a line or sentence,
+    over as many lines as it takes, until they have NEAR words. A trigger may itself be broken over lines.
+    """
+    out: dict[str, None] = {}
+    if not _TRIGGER.search(text):
+        return out
+    lines = [line for line in text.split("\n") if line.strip()]
+    units, line_of, begins = [], [], []
+    for i, line in enumerate(lines):
+        begins.append(len(units))
+        for part in _SENTENCE.split(line):
+            if part.strip():
+                units.append(part)
+                line_of.append(i)
+    begins.append(len(units))
+    sizes = [len(u.split()) for u in units]
+    starts = list(itertools.accumulate((len(u) + 1 for u in units), initial=0))
+    done = set()
+    for m in _TRIGGER.finditer("\n".join(units)):
+        s, e = bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_right(starts, m.end() - 1) - 1
+        if (s, e) in done:
+            continue
+        done.add((s, e))
+        first, last = line_of[s], line_of[e]
+        for i in range(first, last + 1):
+            out |= dict.fromkeys([lines[i], *units[begins[i] : begins[i + 1]]])
+        around, j = lines[first], first + 1
+        while j < len(lines) and len(around.split()) < NEAR:
+            around += "\n" + lines[j]
+            out[around] = None
+            j += 1
+        a, before = s, 0
+        while a >= 0 and before <= NEAR:
+            b, words = e, sum(sizes[a : e + 1])
+            while True:
+                out["\n".join(units[a : b + 1])] = None
+                b += 1
+                if b >= len(units) or words >= NEAR:
+                    break
+                words += sizes[b]
+            a -= 1
+            before += sizes[a] if a >= 0 else 0
+    return out
+
+
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, path: str = "path", text: str = "text") -> DataFrame:
     """files with own_license, own_score, license, inherited_from.
 
