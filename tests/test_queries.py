@@ -1,6 +1,10 @@
 """Every registered query against its SQL on DuckDB, at the smallest size."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -48,3 +52,19 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["tb", "event_type", "cnt", "users"] and df.count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_training_data_operators(tmp_path, pipeline):
+    """Both llm folders deleted, with and without the pipeline's module: the other queries are all there."""
+    root = Path(__file__).resolve().parent.parent
+    for name in ["weir", "__spark_entry__.py"] + ["corpus_pipeline.py"] * (pipeline and (root / "corpus_pipeline.py").exists()):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        else:
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) + sorted(e.oracle_sql()))"
+    own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=own, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == str(sorted(QUERIES) + sorted(SQL))
