@@ -161,12 +161,35 @@ def test_longest_matches(texts, tests, window):
             assert set(shard.sa[wlo[k] : whi[k]].tolist()) == {p for p, n in lengths.items() if n >= items.width[k]}
 
 
-def test_removed_keeps_clean_rows_whole(spark):
+@pytest.mark.parametrize(("shard", "block"), [(1_000_000, 1_000_000), (30, 1_000_000), (200, 15)])
+def test_removed_keeps_clean_rows_whole(spark, shard, block):
     passage = " ".join(f"word{i}" for i in range(20))
-    docs = frame(spark, [(1, passage), (2, "clean text"), (2, None), (None, f"x {passage}"), (3, passage + " filler" * 500)])
-    out = decontaminate.removed(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    docs = frame(spark, [(1, passage), (2, "clean text"), (2, None), (None, f"x {passage}"), (3, passage + " filler" * 500), (4, " ".join(passage.split()[:12])), (5, f"a {' '.join(passage.split()[3:16])} b"), (6, "Other item")])
+    items = spark.createDataFrame([(1, passage), (2, None), (3, "other ITEM")], "item_id long, text string")
+    out = decontaminate.removed(docs, items, shard=shard, block=block)
     assert out.columns == docs.columns
-    assert sorted((r.doc_id, r.text is None, r.fp) for r in out.collect()) == [(2, False, "clash"), (2, True, "clash"), (3, False, "clash")]
+    assert sorted((r.doc_id, r.text is None, r.fp) for r in out.collect()) == [(2, False, "clash"), (2, True, "clash"), (4, False, "clash")]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_longest_matches_do_not_depend_on_shards(spark, kind):
+    rng = random.Random(9)
+    texts = [" ".join(f"t{rng.randrange(3)}" for _ in range(rng.randrange(60))) for _ in range(40)]
+    items = [(f"{k}" if kind == "string" else k, " ".join(f"t{rng.randrange(3)}" for _ in range(rng.randrange(1, 25)))) for k in range(6)] + [(None, "t0 t1 t2 t0")]
+    want = set()
+    for i, t in items[:-1]:
+        a = t.split()
+        for d, text in enumerate(texts):
+            b = text.split()
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    n = next((j for j in range(len(a) - x) if y + j >= len(b) or a[x + j] != b[y + j]), len(a) - x)
+                    if n >= min(4, len(a)) and (x == 0 or y == 0 or a[x - 1] != b[y - 1]):
+                        want.add((i, x, d, y, n))
+    df, its = frame(spark, list(enumerate(texts))), spark.createDataFrame(items, f"item_id {kind}, text string")
+    for shard, block in ((1_000_000, 1_000_000), (50, 20)):
+        got = [tuple(r) for r in decontaminate.longest_matches(df, its, 4, shard, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 # ---- TIFF

@@ -13,13 +13,12 @@ from weir.llm import packing, queries, token_files, tokens
 from weir.llm.shared import scratch
 
 BYTES, WORDS = (tokens.default_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ODD = ["", None, " ", "  a", "a  b", "a \n b", "a  b  \n", "it's 'tis\t x", "é ́x", "ΑΣ ΟΔΟΣ.", "<|endoftext|> <|startoftext|>", "a" * 5000, "퟿ 😀 1 23", "x " * 3000, "\n\n a", "a   b"]
+ODD = ["", None, " ", "  a", "a  b", "a \n b", "a  b  \n", "it's 'tis\t x", "é ́x", "ΑΣ ΟΔΟΣ.", "<|endoftext|> <|startoftext|>", "hello <|endoftext|> world", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext", "tail <|endoftext|>\n", "a" * 5000, "퟿ 😀 1 23", "x " * 3000, "\n\n a", "a   b"]
 
 
 
 def pair(path):
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     return plain, tokens.Encoder(tokens.read_spec(path))
 
 
@@ -36,6 +35,12 @@ def test_words_looked_up_give_the_same_ids(path, texts):
     assert got == want
 
 
+def test_names_of_added_tokens_in_texts_are_those_tokens():
+    for path, (plain, quick) in PAIRS.items():
+        ids = np.frombuffer(quick.encode(["hello <|endoftext|> world"])[0], "<u4").tolist()
+        assert plain.token_to_id("<|endoftext|>") in ids and ids == Tokenizer.from_file(path).encode("hello <|endoftext|> world", add_special_tokens=False).ids
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 3)
     e = tokens.Encoder(tokens.read_spec(BYTES))
@@ -82,7 +87,6 @@ def test_packing_whole(spark, tmp_path):
     rows = [(i, t, "x", 1) for i, t in enumerate(ODD)] + [(3, "again", None, None), (None, "no id", "", 0)] + [(100 + i, "same text", "", 0) for i in range(400)]
     out = packing.pack(packing.token_pieces(docs_of(spark, rows), WORDS, 64), 64).collect()
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     want = Counter()
     for d, t, *_ in rows:
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
@@ -112,7 +116,6 @@ def test_token_files_round_trip(spark):
     folder = scratch(spark, "t")
     token_files.write(docs_of(spark, rows).repartition(3), folder, BYTES)
     plain = Tokenizer.from_file(BYTES)
-    plain.encode_special_tokens = True
     out = token_files.read(spark, folder).orderBy("start").collect()
     at, files = 0, token_files.TokenFiles(folder)
     assert len(files) == len(rows) == len(out)

@@ -11,7 +11,7 @@ match at all, so only those are sorted: the answers are the same as over all suf
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null text has no words; so has an
 item of null text, and items without words match nothing. Equal items, repeated documents and ids are all
 reported. Items beyond BLOCK words go into blocks of that size, kept in the shared folder and
-searched one after another; only the first block travels with the tasks.
+searched one after another, each read once for a shard; only the first block travels with the tasks.
 """
 
 from __future__ import annotations
@@ -243,21 +243,35 @@ def _load(block) -> Items:
     return block
 
 
-def _sharded(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    ids, texts, size = [], [], 0
+def _sharded(batches: Iterator[pa.RecordBatch], at_text: int, shard: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
+    """The rows in runs of about `shard` words, whole texts each: the run's (slices of) batches and its texts' words."""
+    parts, texts, size = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                own = words(t)
-                ids.append(d)
-                texts.append(own)
-                size += len(own) + 1
+            some, first = batch.slice(at, 256), 0
+            for k, text in enumerate(some.column(at_text).to_pylist()):
+                texts.append(words(text))
+                size += len(texts[-1]) + 1
                 if size >= shard:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                    yield [*parts, some.slice(first, k + 1 - first)], texts
+                    parts, texts, size, first = [], [], 0, k + 1
+            if first < some.num_rows:
+                parts.append(some.slice(first))
+    if texts:
+        yield parts, texts
+
+
+def _found(blocks: list, texts: list[list[bytes]], ready: list[Items]) -> tuple[np.ndarray, list[list]]:
+    """Of each text of a shard: its words that are hit, and the ids of the items whose windows occur in it."""
+    begins = np.concatenate([[0], np.cumsum(np.array([len(t) + 1 for t in texts], "i8"))])
+    covered, items = np.zeros(int(begins[-1]), bool), [[] for _ in texts]
+    for k, block in enumerate(blocks):
+        own = ready[0] if k == 0 else _load(block)
+        hit, pairs = window_hits(Shard(texts, own), own)
+        covered |= hit[: len(covered)]
+        for d, i in pairs:
+            items[d].append(own.ids[i])
+    return np.add.reduceat(covered.astype("i8"), begins[:-1]), items
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -266,43 +280,49 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard: int
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [_load(b) for b in blocks[:1]]
-        for ids, texts in _sharded(batches, shard):
-            covered, items = None, [[] for _ in ids]
-            for b in [*ready, *blocks[1:]]:
-                own = b if b in ready else _load(b)
-                at = Shard(texts, own)
-                hit, pairs = window_hits(at, own)
-                covered = hit[: int(at.begins[-1])] if covered is None else covered | hit[: int(at.begins[-1])]
-                for d, i in pairs:
-                    items[d].append(own.ids[i])
-            lengths = [len(t) for t in texts]
-            if covered is None:
-                hits = [0] * len(ids)
-            else:
-                begins = np.concatenate([[0], np.cumsum(np.array(lengths) + 1)])[:-1]
-                hits = np.add.reduceat(covered.astype("i8"), begins)
+        for parts, texts in _sharded(batches, 1, shard):
+            hits, items = _found(blocks, texts, ready)
+            ids = pa.concat_arrays([p.column(0) for p in parts])
             named = [sorted({str(i) for i in found if i is not None}) for found in items]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()), pa.array(named, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, texts), pa.int64()), pa.array(hits), pa.array(named, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
         settle()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
+def _lengths(shard: Shard, items: Items, suffixes: np.ndarray, where: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many words each test suffix (by its number) and the text at `where` share, if the first `known` are the same."""
+    length, room = known.copy(), items.room[suffixes]
+    live = np.flatnonzero(length < room)
+    while len(live):
+        n = length[live]
+        live = live[items.codes[items.suffixes[suffixes[live]] + n] == shard.codes[where[live] + n]]
+        length[live] += 1
+        live = live[length[live] < room[live]]
+    return length
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, at_least: int = 13, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Maximal verbatim matches: item_id, item_start, doc_id, doc_start, length, in words.
+    """Longest verbatim matches and their places: item_id (the benchmark's type), item_start, doc_id, doc_start, length, in words.
 
-    For each test suffix the longest match in the shard, at every location, unless it only continues a match
-    that begins a word earlier. Shorter items count from their whole length.
+    Every place in a document where `at_least` words of an item (all, if it has fewer) stand, as long as the words
+    before and after go on alike: matches that only continue one which begins a word earlier are no rows of their own.
+    A row doesn't depend on other documents, nor on how they share tasks and shards. Items without id are left out.
     """
-    blocks = _blocks(benchmark, at_least, block)
+    blocks = _blocks(benchmark.where("item_id IS NOT NULL"), at_least, block)
+    field = benchmark.schema["item_id"].dataType.simpleString()
+    kind = pa.string() if field == "string" else pa.int64()
+    ddl = f"item_id {'string' if field == 'string' else 'long'}, item_start long, doc_id long, doc_start long, length long"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _sharded(batches, shard):
-            for b in blocks:
-                items = _load(b)
+        ready = [_load(b) for b in blocks[:1]]
+        for parts, texts in _sharded(batches, 1, shard):
+            ids = pa.concat_arrays([p.column(0) for p in parts])
+            for k, b in enumerate(blocks):
+                items = ready[0] if k == 0 else _load(b)
                 s = Shard(texts, items)
-                best, lo, hi, _, _ = search(s.codes, s.sa, items)
-                wanted = np.flatnonzero((best > 0) & (best >= items.width))
+                _, _, _, lo, hi = search(s.codes, s.sa, items)
+                wanted = np.flatnonzero(lo < hi)
                 at, of = _spread(lo[wanted], hi[wanted])
                 of, where = wanted[of], s.sa[at]
                 begin = items.suffixes[of] - items.begins[items.owner[of]]
@@ -311,11 +331,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, at_least: int = 13, s
                 of, where, begin = of[fresh], where[fresh], begin[fresh]
                 doc = s.documents(where)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([items.ids[i] for i in items.owner[of]], pa.int64()), pa.array(begin), pa.array([ids[d] for d in doc], pa.int64()), pa.array(where - s.begins[doc]), pa.array(best[of])],
+                    [pa.array([items.ids[i] for i in items.owner[of]], kind), pa.array(begin), ids.take(pa.array(doc)), pa.array(where - s.begins[doc]), pa.array(_lengths(s, items, of, where, items.width[of]))],
                     ["item_id", "item_start", "doc_id", "doc_start", "length"],
                 )
+        settle()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "item_id long, item_start long, doc_id long, doc_start long, length long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, ddl)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
@@ -327,30 +348,24 @@ def items_digest(named: list[str]) -> str:
     return hashlib.sha256(",".join(named).encode()).hexdigest()
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """docs without the contaminated ones, all columns kept; decided row by row, in the same pass over the text.
+def removed(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """docs without those in which any window of an item occurs, however long they are; all columns kept.
 
-    Ids play no part, so rows with a null or repeated doc_id are judged by their own text.
+    Decided row by row in the same pass over the text. Ids play no part, so rows with a null or repeated doc_id are
+    judged by their own text.
     """
-    blocks = _blocks(benchmark, window, BLOCK)
+    blocks = _blocks(benchmark, window, block)
     names, at_text = docs.columns, docs.columns.index("text")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [_load(b) for b in blocks[:1]]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                texts = [words(t) for t in some.column(at_text).to_pylist()]
-                lengths = np.array([len(t) for t in texts], "i8")
-                begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-                covered = np.zeros(int(begins[-1]), bool)
-                for b in [*ready, *blocks[1:]]:
-                    own = b if b in ready else _load(b)
-                    covered |= window_hits(Shard(texts, own), own)[0][: len(covered)]
-                hits = np.add.reduceat(covered.astype("i8"), begins[:-1])
-                keep = ~((hits > 0) & (20 * hits >= lengths))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in some.columns], names)
+        for parts, texts in _sharded(batches, at_text, shard):
+            clean, at = _found(blocks, texts, ready)[0] == 0, 0
+            for some in parts:
+                keep = pa.array(clean[at : at + some.num_rows])
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in some.columns], names)
+                at += some.num_rows
         settle()
 
     return small_batches(docs).mapInArrow(rows, ddl)

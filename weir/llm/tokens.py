@@ -37,6 +37,8 @@ _SPELLING = _byte_letters()
 def kind_of(spec: dict) -> str:
     """'spaced' (a space belongs to the word after it), 'spaceless' (white space is dropped) or 'whole'."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    if any(t.get("normalized") for t in spec.get("added_tokens") or []):  # these are sought in the normalised text
+        return "whole"
     if spec.get("post_processor") not in (None, {}) and spec["post_processor"].get("type") != "ByteLevel":
         return "whole"
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
@@ -56,13 +58,15 @@ assert sys.byteorder == "little" and array("I").itemsize == 4
 class Encoder:
     """Texts to the ids that encode(text, add_special_tokens=False) gives, as little-endian uint32 bytes.
 
-    The names of special tokens inside a text are ordinary text, as in data that others wrote.
+    The library finds its added tokens (`<|endoftext|>` and the like) inside texts too, across spaces if they hold any,
+    and then may take white space beside them: texts in which one of their names occurs are encoded whole.
     """
 
     def __init__(self, spec: str, memory: int = MEMORY) -> None:
         self.memory = memory
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        names = [t["content"] for t in json.loads(spec).get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, names))).search if names else lambda text: None
         self.kind = kind_of(json.loads(spec))
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
@@ -127,15 +131,16 @@ class Encoder:
         if self.kind == "whole":
             return self._encode(texts)
         out: list[bytes] = [b""] * len(texts)
-        if self.kind == "spaced":
-            whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                out[i] = ids
-            left = set(whole)
+        spaced = self.kind == "spaced"
+        whole = [i for i, t in enumerate(texts) if self.added(t) or spaced and _RUN.search(t)]
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        left = set(whole)
+        if spaced:
             split = [(i, t.replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if i not in left]
             lead = " "
         else:
-            split = [(i, t.replace("\n", " ").split(" ")) for i, t in enumerate(texts)]
+            split = [(i, t.replace("\n", " ").split(" ")) for i, t in enumerate(texts) if i not in left]
             lead = ""
         get = self.words.get
         known = [list(map(get, parts)) for _, parts in split]
