@@ -4,7 +4,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
-from tests.llm.test_operators import components, plain_fingerprint, plain_overlap
+from tests.llm.test_jaccard import plain_components
+from tests.llm.test_operators import plain_overlap
 from weir.llm import quality, toxicity
 
 D = "/root/testdata/sf0.001"
@@ -19,13 +20,13 @@ def models(spark):
 def by_hand(rows, items, toxic, good):
     kept = [r for r in rows if toxic.score(r[1]) < 0.5]
     kept = [r for r in kept if good.scores(quality.np.array([quality.statistics(r[1])]))[0] >= 0.7]
-    label = components({r[0]: plain_fingerprint(r[1]) for r in kept})
+    label = plain_components(dict(kept))
     groups = defaultdict(list)
     for r in kept:
         groups[label[r[0]]].append(r)
     kept = [min(g) for g in groups.values()]
-    hit = {d: (h, n) for d, n, h, _ in plain_overlap(kept, items)}
-    return [r for r in kept if not (hit[r[0]][0] and 20 * hit[r[0]][0] >= hit[r[0]][1])]
+    hit = {d: h for d, _, h, _ in plain_overlap(kept, items)}
+    return [r for r in kept if not hit[r[0]]]
 
 
 def test_run(spark, models):
