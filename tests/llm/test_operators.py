@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips, and cases of nulls, blanks, ties and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -68,14 +69,14 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert {r.doc_id: r.component_id for r in out} == components(fps)
 
 
-@pytest.mark.parametrize("hot", [2, 64])
-def test_links_of_large_clusters(spark, hot):
+@pytest.mark.parametrize("long", [2, 8, 32])
+def test_links_of_large_clusters(spark, long):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(4)]
     fps = {0, 1, 3, 7, 15, 1 << 63, (1 << 64) - 1} | {c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in centres for _ in range(60)}
     fps |= {centres[0] ^ ((1 << k) - 1) for k in range(0, 64, 2)}  # a long chain
     named = {simhash.signed(f): f for f in fps}
-    labels = simhash.classes(simhash.links(spark.createDataFrame([(k,) for k in named], "fp long"), 2, hot)).collect()
+    labels = simhash.classes(simhash.links(spark.createDataFrame([(k,) for k in named], "fp long"), 2, long)).collect()
     got = defaultdict(set)
     for r in labels:
         got[r.label].add(r.node)
@@ -85,6 +86,16 @@ def test_links_of_large_clusters(spark, hot):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_tally_counts_shared_positional_bytes(spark):
+    rng = random.Random(4)
+    fps = [0, 0xFF, 0x0101, 0x010101, 0x01010101, 1 << 63, *(rng.getrandbits(64) for _ in range(20))]
+    entries = {r.fp: r.e for r in spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long").withColumn("e", simhash._entries(simhash.F.col("fp"))).collect()}
+    for a in fps:
+        for b in fps:
+            same = sum(x == y for x, y in zip(a.to_bytes(8), b.to_bytes(8), strict=True))
+            assert len(set(entries[simhash.signed(a)]) & set(entries[simhash.signed(b)])) == math.comb(same, 5)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = simhash.near_duplicates(frame(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, "only here q"), (9, None)])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in out) == [("5", "5"), ("5", "5"), ("9", "9"), ("None", "5"), ("None", "None")]

@@ -1,16 +1,16 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints at Hamming distance d <= 2 share at least 8 - d >= 6 of their 8 positional bytes, the
-guaranteed minimum. Single bytes would make posting lists of N / 256 entries, so the index is keyed by
-position sets: the 8 positions form 4 pairs, and any two differing bytes leave two pairs whole, so one of
-the 6 unions of two pairs (32 bits) is shared by every link. Pairs that meet in a list are tallied over all
-8 positional bytes, those with fewer than 6 matches go, and the rest are verified bit by bit.
-
-Lists longer than HOT would emit pairs with the square of their length. Their fingerprints are linked
-through neighbours instead: fingerprints at distance <= 2 have a common value within one flipped bit of
-both, so each fingerprint is filed under itself and its 64 one-bit flips, and all that meet under one value
-(at most 65, each within distance 2 of the others) are linked to the smallest. That loses no link between classes
-and drops nothing, whatever the size of the list.
+Two 64-bit fingerprints at Hamming distance d <= 2 share at least 6 of their 8 positional bytes. Lists of single
+bytes would hold a 256th of all fingerprints each, so an entry of the index is a set of POSITIONS = 5 positions with its
+bytes (40 bits): every fingerprint stands in the 56 lists of its sets. Two that share s bytes meet in C(s, 5) lists, so
+the meetings of a pair tally its shared positional bytes: 1 for five, 6 for six, 21 for seven. Pairs are formed list by
+list, their meetings counted, those with fewer than the guaranteed C(6, 5) = 6 go, and the rest are verified bit by bit.
+
+A list's pairs grow with the square of its length, and a group of near copies can make lists of thousands. Fingerprints
+of lists longer than LONG are therefore filed again, under each value that differs from their own in one bit or none:
+two at distance <= 2 have such a value in common, all that meet under one (65 at most) are within distance 2 of
+one another, and are linked to the least. A link is thus found in short lists alone, where the tally is whole, or between two
+that meet in a long one; no list is cut, and no link between classes is lost.
 
 Work is on distinct fingerprints; copies never meet each other. Classes are found by contraction: every
 fingerprint points to the neighbour of least hash in that round, edges are renamed, and a few rounds leave none.
@@ -18,6 +18,9 @@ fingerprint points to the neighbour of least hash in that round, edges are renam
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,10 +29,8 @@ from pyspark.sql import functions as F
 
 from weir.llm.shared import map_arrow, written
 
-#: Longest posting list whose pairs are formed one by one.
-HOT = 64
-#: The 6 masks of two byte pairs out of 4.
-MASKS = [(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a in range(4) for b in range(a)]
+#: Positions in an entry of the index, and the longest list whose pairs are formed one by one.
+POSITIONS, LONG = 5, 32
 SEED = 42
 
 
@@ -67,25 +68,37 @@ def _long(x: int) -> Column:
     return F.lit(signed(x))
 
 
-def links(fps: DataFrame, distance: int = 2, hot: int = HOT) -> DataFrame:
+def _entries(fp: Column) -> Column:
+    """The fingerprint's entries: for each set of positions their bytes, packed, and below them the number of the set."""
+    byte = [F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(0xFF).cast("long")) for k in range(8)]
+    out = []
+    for n, chosen in enumerate(combinations(range(8), POSITIONS)):
+        key = F.lit(n).cast("long")
+        for j, k in enumerate(chosen):
+            key = key.bitwiseOR(F.shiftleft(byte[k], 8 * (j + 1)))
+        out.append(key)
+    return F.array(*out)
+
+
+def links(fps: DataFrame, distance: int = 2, long: int = LONG) -> DataFrame:
     """Edges (u, v), u < v, between distinct fingerprints in column fp that connect all those within the distance (0 to 2)."""
     if not 0 <= distance <= 2:
         raise ValueError("the index guarantees distances up to 2")
-    index = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(_long(m)) for m in MASKS))).alias("mask", "part")).select("fp", F.struct("mask", "part").alias("key"))
+    index = fps.select("fp", F.explode(_entries(F.col("fp"))).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = written(index.join(sizes, "key"), "lists")
-    cool = lists.where(F.col("n") <= hot)
-    a, b = cool.select("key", F.col("fp").alias("u")), cool.select("key", F.col("fp").alias("v"))
-    bits = F.col("u").bitwiseXOR(F.col("v"))
-    shared = sum((F.when(bits.bitwiseAND(_long(0xFF << 8 * k)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
-    pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & (shared >= 8 - distance) & (F.bit_count(bits) <= distance)).select("u", "v")
-    warm = lists.where(F.col("n") > hot).select("fp").distinct()
+    bits = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    short = lists.where(F.col("n") <= long).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
+    met = short.select(F.posexplode("all").alias("at", "u"), "all").select("u", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("v"))
+    tally = met.groupBy("u", "v").agg(F.count("*").alias("n"))
+    pairs = tally.where((F.col("n") >= comb(8 - distance, POSITIONS)) & (bits <= distance)).select("u", "v")
+    warm = lists.where(F.col("n") > long).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(_long(1 << k) for k in range(64)))
     near = warm.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("z"))
     stars = near.groupBy("z").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)  # 65 at most
     least = stars.select(F.array_min("all").alias("u"), F.explode("all").alias("v")).where("u < v")
     if distance < 2:  # under a value both may be one flip away from it
-        least = stars.select(F.explode("all").alias("u"), "all").select("u", F.explode("all").alias("v")).where((F.col("u") < F.col("v")) & (F.bit_count(bits) <= distance))
+        least = stars.select(F.explode("all").alias("u"), "all").select("u", F.explode("all").alias("v")).where((F.col("u") < F.col("v")) & (bits <= distance))
     return pairs.unionByName(least).distinct()
 
 
@@ -106,7 +119,7 @@ def classes(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"{rounds} rounds did not contract the edges")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, long: int = LONG) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable by links between fingerprints at most `distance` bits apart.
 
     A null text has no words, and so fingerprint 0, which links like any other. A null doc_id keeps its row; it
@@ -115,7 +128,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, hot: i
     """
     prints = written(fingerprints(docs, shingle), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = classes(links(distinct.select("fp"), distance, hot))
+    labels = classes(links(distinct.select("fp"), distance, long))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     components = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_fp = written(named.join(components, "label").select("fp", "component_id"), "by-fp")
