@@ -439,6 +439,8 @@ def test_license_lines_of_documents(spark):
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
     for r in licenses.scan(d).collect():
         named = {v for k, v in lines.items() if k in r.text.split("\n")}
+        if not named and "All rights reserved." in r.text.split("\n"):
+            named = {"Proprietary"}
         assert (r.own_license in named) if named else r.own_license is None
 
 
@@ -451,19 +453,22 @@ def plain_license(text, templates):
     idf = np.array([np.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) + 1 for w in vocabulary])
     rows = np.array([[b.count(w) for w in vocabulary] for b in bags]) * idf
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    best, name = 0.0, None
+    best = {True: (0.0, None), False: (0.0, None)}  # with the weak template, and without it
+    open_ = np.array([t != licenses.WEAK for _, t in listed])
     lines = (text or "").split("\n")
     for i, line in enumerate(lines):
         if re.search(r"licen[cs]|copyright|permission|redistribut|rights reserved|spdx|public domain|released under|free software", line, re.I):
             upto = next((j for j in range(i + 1, len(lines) + 1) if len(" ".join(lines[i:j]).split()) >= licenses.NEAR), len(lines))
-            for passage in [line, *re.split(r"(?<=[.;:])\s+", line), *("\n".join(lines[i:j]) for j in range(i + 1, upto + 1))]:
+            for passage in [line, *re.split(r"(?<=[.;:])\s+", line), *("\n".join(lines[i:j]) for j in range(i + 1, upto + 1)), text]:
                 bag = cut(passage)
                 own = np.array([bag.count(w) for w in vocabulary]) * idf
                 rest = sum((bag.count(w) * (np.log(1 + len(bags)) + 1)) ** 2 for w in set(bag) - set(vocabulary))
                 scores = rows @ own / max(np.sqrt(own @ own + rest), 1e-300)
-                if scores.max() > best + 1e-9:
-                    best, name = scores.max(), listed[int(np.flatnonzero(scores > scores.max() - 1e-9)[0])][0]
-    return best, name
+                for weak in best:
+                    s = scores if weak else scores * open_
+                    if s.max() > best[weak][0] + 1e-9:
+                        best[weak] = s.max(), listed[int(np.flatnonzero(s > s.max() - 1e-9)[0])][0]
+    return best[best[True][1] != "Proprietary" or best[False][0] < licenses.THRESHOLD]
 
 
 def test_license_scan_against_brute_force(spark, sf):
@@ -472,7 +477,25 @@ def test_license_scan_against_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = queries.op5_license_scan(spark, sf).collect()
     assert len(out) == len(texts) and any(r.own_license for r in out)
+    said = defaultdict(list)
     for r in out:
         score, name = plain_license(texts[r.doc_id], licenses.TEMPLATES)
         assert r.own_score == pytest.approx(score, abs=1e-9)
-        assert r.own_license == (name if score >= licenses.THRESHOLD else None) == r.license and r.inherited_from is None
+        assert r.own_license == (name if score >= licenses.THRESHOLD else None)
+        if r.path.split("/")[-1].startswith("LICENSE") and r.own_license:
+            said[r.path.rpartition("/")[0]].append((-r.own_score, r.own_license))
+    for r in out:
+        above = [d for d in said if r.path.rpartition("/")[0].startswith(d) and r.path.startswith(d + "/")]
+        near = max(above, key=len, default=None) if r.own_license is None else None
+        assert (r.license, r.inherited_from) == (r.own_license or near and min(said[near])[1], near)
+
+
+def test_inheritance_of_the_query_over_a_tree(spark, tmp_path):
+    """The query over documents of which licence files at all three depths say something."""
+    from weir.llm import queries
+
+    rows = [(0, "Released under the MIT License.", "web", "en"), (7, "words", "web", "en"), (1000, "Licensed under the ISC license", "web", "en"), (1100, "Licensed under CC BY 4.0.", "web", "en"), (1101, None, "web", "en"), (1201, "words", "web", "en"), (1202, "words", "web", "fr"), (1203, "words", "books", "fr"), (1204, "SPDX-License-Identifier: Zlib", "web", "en"), (1205, "", None, None), (None, "x", "web", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.inherited_from) for r in queries.op5_license_scan(spark, str(tmp_path)).collect()}
+    isc = ("ISC", "web/en")
+    assert got == {0: ("MIT", None), 7: isc, 1000: ("ISC", None), 1100: ("CC-BY-4.0", None), 1101: ("CC-BY-4.0", "web/en/11"), 1201: isc, 1202: ("MIT", "web"), 1203: (None, None), 1204: ("Zlib", None), 1205: (None, None), None: isc}

@@ -18,28 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.license_texts import TEMPLATES
 from weir.llm.shared import map_arrow, written
 
-#: Lines that state a license, in the words that people use; more can be passed to `scan`.
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache 2.0 license", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License, either version 3 of the License or any later version", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC0-1.0": ["Released under CC0 1.0.", "The person who associated a work with this deed has dedicated the work to the public domain"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission."],
-}
 #: Stands beside open licenses too, so it counts only where no other template reaches the threshold.
 WEAK = "All rights reserved."
-#: Passages grow line by line (blank ones left out) until they have this many words.
+#: Passages grow line by line (blank ones left out) until they have this many words; longer ones are runs of twice as many, four times, and so on.
 NEAR, THRESHOLD = 48, 0.6
-#: Directories (two paths and a name each) that may be broadcast.
-SMALL = 200_000
+#: Bytes of directories (two paths and a name each) that may be broadcast.
+SMALL = 32_000_000
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
 _TRIGGER = re.compile(r"licen[cs]|copyright|permission|redistribut|rights{_}reserved|spdx|public{_}domain|released{_}under|free{_}software".replace("{_}", r"[\s#*/;-]+"), re.I)
 _SENTENCE = re.compile(r"(?<=[.;:])\s+")
@@ -100,11 +87,26 @@ class Templates:
         return best
 
 
+def _pieces(sentence: str) -> list[str]:
+    """The sentence; one of over NEAR words in pieces of 8 words, the first words of triggers beginning new ones."""
+    words = sentence.split()
+    if len(words) <= NEAR:
+        return [sentence] if words else []
+    at = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    starts = {bisect.bisect_right(at, m.start()) - 1 for m in _TRIGGER.finditer(" ".join(words))}
+    cuts, out = sorted(starts | {0, len(words)}), []
+    for a, b in itertools.pairwise(cuts):
+        out += [" ".join(words[k : min(k + 8, b)]) for k in range(a, b, 8)]
+    return out
+
+
 def passages(text: str) -> dict[str, None]:
-    """Lines that hold a trigger word, their sentences, and passages around a trigger.
+    """Lines that hold a trigger word, their sentences, passages around a trigger, and the whole text if it has one.
 
-    Those passages run from a line or sentence that begins up to NEAR words before the trigger to the end of a line or sentence,
-    over as many lines as it takes, until they have NEAR words. A trigger may itself be broken over lines.
+    Passages run from a line or sentence that begins up to NEAR words before the trigger to the end of a line or sentence,
+    over as many lines as it takes, until they have NEAR words. A trigger may itself be broken over lines. From the line of
+    each trigger on there are also passages of 2 NEAR words, 4 NEAR and so on; of the triggers of one line, and of
+    lines within half such a passage, one is enough. So texts are compared as far as they go, in time N log N.
     """
     out: dict[str, None] = {}
     if not _TRIGGER.search(text):
@@ -114,13 +116,14 @@ def passages(text: str) -> dict[str, None]:
     for i, line in enumerate(lines):
         begins.append(len(units))
         for part in _SENTENCE.split(line):
-            if part.strip():
-                units.append(part)
+            for piece in _pieces(part):
+                units.append(piece)
                 line_of.append(i)
     begins.append(len(units))
     sizes = [len(u.split()) for u in units]
     starts = list(itertools.accumulate((len(u) + 1 for u in units), initial=0))
-    done = set()
+    ahead = list(itertools.accumulate(sizes, initial=0))
+    done, taken = set(), {}
     for m in _TRIGGER.finditer("\n".join(units)):
         s, e = bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_right(starts, m.end() - 1) - 1
         if (s, e) in done:
@@ -145,6 +148,13 @@ def passages(text: str) -> dict[str, None]:
                 words += sizes[b]
             a -= 1
             before += sizes[a] if a >= 0 else 0
+        begin, size = begins[first], 2 * NEAR
+        while size < 2 * (ahead[-1] - ahead[begin]):
+            if ahead[begin] - taken.get(size, -size) >= size // 2:
+                taken[size] = ahead[begin]
+                out["\n".join(units[begin : bisect.bisect_left(ahead, ahead[begin] + size)])] = None
+            size *= 2
+    out["\n".join(units)] = None
     return out
 
 
@@ -179,7 +189,8 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
     dirs = files.where(F.col(path).isNotNull()).select(directory.alias("_up"), ancestors.alias("_dirs")).distinct()
     dirs = dirs.select("_up", F.posexplode("_dirs").alias("_depth", "_dir")).join(said, "_dir").groupBy("_up").agg(F.max_by(F.struct("_dir", "_said"), "_depth").alias("_near"))
     dirs = written(dirs, "directories")
-    if dirs.count() <= SMALL:
+    size = F.sum(64 + F.length("_up") + F.length("_near._dir") + F.length("_near._said"))  # 64 for what a row costs
+    if dirs.agg(F.coalesce(size, F.lit(0)).alias("n")).first()["n"] <= SMALL:
         dirs = F.broadcast(dirs)
     joined = own.withColumn("_up", directory).join(dirs, "_up", "left")
     inherits = F.col("own_license").isNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import decontaminate, html_extract, licenses, packing, quality, simhash, sql, tiff, token_files, tokens, toxicity, url_filter
@@ -31,10 +31,27 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def file_path() -> Column:
+    """Documents as files of a tree, as `documents` names none: source/lang/hundred/id, with licence files at three depths.
+
+    Each directory's first document by hundreds is its LICENSE; those of round thousands and ten thousands are the LICENSE-<id>
+    of their language and of their source.
+    """
+    number = F.col("doc_id")
+    top, language = F.array(F.col("source")), F.array("source", "lang")
+    own = F.array("source", "lang", F.floor(number / 100).cast("string"))
+    name = F.concat(F.lit("LICENSE-"), number.cast("string"))
+    parts = (
+        F.when(number % 10_000 == 0, F.concat(top, F.array(name)))
+        .when(number % 1_000 == 0, F.concat(language, F.array(name)))
+        .when(number % 100 == 0, F.concat(own, F.array(name)))
+        .otherwise(F.concat(own, F.array(number.cast("string"))))
+    )
+    return F.array_join(parts, "/", "unknown")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source / language / id."""
-    docs = read_table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    files = read_table(spark, sf_dir, "documents").select("doc_id", file_path().alias("path"), "text")
     return licenses.scan(files).select("doc_id", "path", "own_license", "own_score", "license", "inherited_from")
 
 
