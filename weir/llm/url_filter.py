@@ -8,8 +8,9 @@ its mean log-likelihood difference a character; the threshold is calibrated on U
 
 Everything is counted by windows of ORDER + 1 characters: URLs are cut into windows, equal windows are summed
 before a shuffle, and each distinct window's log ratio is worked out once, in whole millionths, so that sums are the
-same in any order. Tables of windows are broadcast only if they have been counted and hold at most SMALL rows; larger
-ones are joined by a shuffle.
+same in any order. What is broadcast at once holds SMALL rows at most, all tables together: counts of the shortest
+windows first, and of the log ratios those of windows that are more frequent than one in SMALL characters (so there are
+fewer than SMALL). The rest is joined by a shuffle, in which no window is frequent.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from weir.llm.shared import written
 
 ORDER, SMOOTH = 4, 2.0
-#: Rows of a table that may be broadcast (each a window and two numbers: 100 bytes at most).
-SMALL = 400_000
+#: Rows that may be broadcast at once (each a window and two numbers: 100 bytes at most).
+SMALL = 150_000
 #: Ruled URLs whose MD5 begins with one of these calibrate the threshold instead of being counted.
 APART = ["0", "1", "2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,12 +54,8 @@ def windows(urls: DataFrame, order: int) -> DataFrame:
     return padded.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("spelling") + 1))).withColumn("window", F.substring("_s", F.col("_i"), F.lit(order + 1))).drop("_s", "_i")
 
 
-def _small(df: DataFrame, rows: int, small: int) -> DataFrame:
-    return F.broadcast(df) if rows <= small else df
-
-
 def ratios(seen: DataFrame, order: int, smooth: float, small: int) -> DataFrame:
-    """(window, llr in millionths) for each distinct window of `seen` (window, a, r: counts in accepted and rejected URLs)."""
+    """(window, n, llr in millionths) for each distinct window of `seen` (window, n, a, r: counts in all, accepted and rejected URLs)."""
     length = order + 1
     grams = None
     for k in range(order + 1):
@@ -68,17 +65,21 @@ def ratios(seen: DataFrame, order: int, smooth: float, small: int) -> DataFrame:
         grams = gram.unionByName(context) if grams is None else grams.unionByName(gram).unionByName(context)
     grams = written(grams, "grams")
     sizes = {(x["k"], x["kind"]): x["count"] for x in grams.groupBy("k", "kind").count().collect()}  # 2 * (order + 1) rows
-    letters = sizes.get((0, "n"), 0) + 1
-    out, p_a, p_r = seen.select("window"), F.lit(1.0 / letters), F.lit(1.0 / letters)
+    letters, room, few = sizes.get((0, "n"), 0) + 1, small, set()
+    for table in sorted(sizes, key=sizes.get):
+        room -= sizes[table]
+        if room >= 0:
+            few.add(table)
+    out, p_a, p_r = seen.select("window", "n"), F.lit(1.0 / letters), F.lit(1.0 / letters)
     for k in range(order + 1):
         for kind, begin, n in (("n", length - k, k + 1), ("t", length - k, k)):
             own = grams.where((F.col("k") == k) & (F.col("kind") == kind)).select(F.col("gram").alias(f"g_{kind}{k}"), F.col("a").alias(f"a_{kind}{k}"), F.col("r").alias(f"r_{kind}{k}"))
-            out = out.join(_small(own, sizes.get((k, kind), 0), small), F.substring("window", begin, n) == F.col(f"g_{kind}{k}"), "left").drop(f"g_{kind}{k}")
+            out = out.join(F.broadcast(own) if (k, kind) in few else own, F.substring("window", begin, n) == F.col(f"g_{kind}{k}"), "left").drop(f"g_{kind}{k}")
         of = lambda c, kind, k=k: F.coalesce(F.col(f"{c}_{kind}{k}"), F.lit(0))
         out = out.withColumns({f"p_a{k}": (of("a", "n") + smooth * p_a) / (of("a", "t") + smooth), f"p_r{k}": (of("r", "n") + smooth * p_r) / (of("r", "t") + smooth)})
         out = out.drop(*(f"{c}_{kind}{k}" for c in "ar" for kind in "nt"))
         p_a, p_r = F.col(f"p_a{k}"), F.col(f"p_r{k}")
-    return out.select("window", F.floor((F.log(p_a) - F.log(p_r)) * 1e6 + 0.5).alias("llr"))
+    return out.select("window", "n", F.floor((F.log(p_a) - F.log(p_r)) * 1e6 + 0.5).alias("llr"))
 
 
 def threshold_of(scores: DataFrame) -> float:
@@ -110,10 +111,18 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: i
     ruled = written(ruled.withColumn("apart", F.md5(F.encode("spelling", "UTF-8")).substr(1, 1).isin(APART)).withColumn("row", F.monotonically_increasing_id()), "urls")
     counted = ~F.col("apart") & F.col("said").isNotNull()
     a, r = ((counted & (F.col("said") == v)).cast("long") for v in ("allow", "block"))
-    seen = written(windows(ruled.select("spelling", a.alias("a"), r.alias("r")), order).groupBy("window").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "windows")
+    seen = written(windows(ruled.select("spelling", a.alias("a"), r.alias("r")), order).groupBy("window").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("r").alias("r")), "windows")
     llr = written(ratios(seen, order, smooth, small), "llr")
     keys = ["row", "page_id", "host", "path", "rule", "said", "apart"]
-    scored = windows(ruled, order).join(_small(llr, llr.count(), small), "window").groupBy(*keys).agg((F.sum("llr") / F.count("llr") / 1e6).alias("score"))
+    total = llr.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    each = windows(ruled, order)
+    if total["rows"] <= small:
+        known = each.join(F.broadcast(llr.drop("n")), "window")
+    else:
+        often = F.col("n") * small > total["n"]
+        hot, cold = llr.where(often).drop("n"), llr.where(~often).drop("n")
+        known = each.join(F.broadcast(hot), "window").select(*keys, "llr").unionByName(each.join(F.broadcast(hot.select("window")), "window", "left_anti").join(cold, "window").select(*keys, "llr"))
+    scored = known.groupBy(*keys).agg((F.sum("llr") / F.count("llr") / 1e6).alias("score"))
     scored = written(scored, "scored")
     both = seen.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("r"), F.lit(0)).alias("r")).first()
     if both["a"] and both["r"]:
