@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weir.llm import decontaminate, licenses, quality, simhash, tiff, toxicity, url_filter
+from weir.llm.shared import labelled_sample
 
 DOCS = "doc_id long, text string, score double, label int, fp string, n int, key int"
 
@@ -282,6 +283,22 @@ def test_quality_on_held_out_rows(spark):
     assert right > 0.93 and all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize(("judged", "label", "recall", "precision"), [(toxicity.judged, "toxic", 0.9, 0.95), (quality.judged, "quality", 0.95, 0.95)])
+def test_recall_on_held_out_rows(spark, judged, label, recall, precision):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = judged(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").where("held_out").select(label, "predicted").collect()
+    hit = sum(r[0] == 1 and r[1] == 1 for r in rows)
+    assert hit >= recall * sum(r[0] == 1 for r in rows) and hit >= precision * sum(r[1] == 1 for r in rows)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = frame(spark, [(k % 3, f"text {k}") for k in range(3000)] + [(0, None)])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
+    one, other = ([tuple(r) for r in labelled_sample(d, labels, "toxic", F.lit(True), 2).orderBy("doc_id").collect()] for d in (docs, docs.repartition(7)))
+    assert one == other and [(d, y) for d, _, y in one] == [(0, 1), (1, 0), (2, 1)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     out = toxicity.judged(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
@@ -369,7 +386,7 @@ def test_rules_and_parts(spark):
         assert out[i].verdict in ("allow", "block") and verdict in (None, out[i].verdict)
 
 
-@pytest.mark.parametrize("small", [0, 400_000])
+@pytest.mark.parametrize("small", [0, 60, 150_000])
 def test_language_models_against_brute_force(spark, sf, small):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     out = url_filter.judged(pages, order=2, smooth=2.0, small=small).collect()

@@ -99,15 +99,17 @@ def fold(doc_id: str, modulus: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int) -> DataFrame:
-    """At most `per_class` labelled documents of each class, for fitting: (doc_id, text, label).
+    """At most `per_class` labelled documents of each class, for fitting: (doc_id, text, label), a row each.
 
     train: a predicate over doc_id. Ids are taken in the order of their hash, so the sample is the same on
     every run; only that many ids are broadcast (8 bytes each). Rows with a null label or a label other
-    than 0 and 1 are left out; an id labelled twice counts once, with its larger label.
+    than 0 and 1 are left out; an id labelled twice counts once, with its larger label. Of an id's documents the one
+    whose text has the least hash counts, however many there are.
     """
     known = labels.where(F.col("doc_id").isNotNull() & train & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = None
     for c in (0, 1):
         one = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")

@@ -21,6 +21,8 @@ from weir.llm.shared import fold, labelled_sample, map_arrow, written
 
 #: Labelled documents of each class that the weights are fitted on, at most.
 PER_CLASS = 6000
+#: What is chosen from by halves of the labelled sample.
+SETTINGS = [{"ridge": r, "balance": b} for r in (1e-5, 1e-4, 1e-3) for b in (0.5, 1.0)]
 #: Groups of terms that may stand for one another.
 IDENTITY = [
     ["women", "men", "girls", "boys", "femmes", "hommes", "frauen", "männer", "mujeres", "hombres"],
@@ -112,9 +114,33 @@ def _largest(x: np.ndarray) -> float:
     return size
 
 
-def fit(names: list[str], docs: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], ridge: float = 1e-5, swap: float = 1.0, steps: int = 600, empty: float = 0.0) -> Model:
+def chosen(names: list[str], docs: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], swap: float = 1.0) -> dict:
+    """The ridge and balance of SETTINGS with the least loss on one half of these rows after fitting on the other, both ways.
+
+    The loss is the mean of both classes' mean log loss, so that neither counts for being frequent.
+    """
+    half = np.arange(len(docs)) % 2
+    if not len(docs) or any(len(set(y[half == h])) < 2 for h in (0, 1)):
+        return SETTINGS[0]
+    losses = []
+    for setting in SETTINGS:
+        loss = 0.0
+        for h in (0, 1):
+            model = fit(names, [d for d, k in zip(docs, half, strict=True) if k == h], y[half == h], pairs[h::2], swap=swap, **setting)
+            own = np.array([model.weights.get(f, 0.0) for f in names])
+            other = np.flatnonzero(half != h)
+            z = np.clip([model.bias + own[docs[i]].sum() for i in other], -50, 50)
+            each = np.log1p(np.exp(-np.where(y[other] == 1, z, -z)))
+            loss += each[y[other] == 1].mean() + each[y[other] == 0].mean()
+        losses.append(loss)
+    return SETTINGS[int(np.argmin(losses))]
+
+
+def fit(names: list[str], docs: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], ridge: float = 1e-5, swap: float = 1.0, steps: int = 600, empty: float = 0.0, balance: float = 0.5) -> Model:
     """Weights by accelerated gradient descent on mean log loss + ridge |w|^2 + swap * mean (change of score on swapping)^2.
 
+    balance: 0 weighs documents alike, 1 classes alike.
+
     docs: each one's features, as places in names; pairs: features of a document and of its swapped twin. Without
     rows, or with one class only, there is nothing to tell apart: every score is the class's share (`empty` without rows).
     """
@@ -135,7 +161,7 @@ def fit(names: list[str], docs: list[list[int]], y: np.ndarray, pairs: list[tupl
     change[:, -1] = 0
     for r, (_, b) in enumerate(pairs):
         change[r, b] -= 1
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5  # half way to balanced classes
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** balance
     y, weight = y.astype("f4"), weight.astype("f4")
     w, v = np.zeros(x.shape[1], "f4"), np.zeros(x.shape[1], "f4")  # single precision throughout: no copies of x
     top = 1.1 * (0.25 * weight.max() * _largest(x) + 2 * swap * _largest(change)) + 2 * ridge  # how fast the gradient can change
@@ -180,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", in_fold: Col
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, ints), pa.array(twins, pa.list_(ints))], ["doc_id", "label", "own", "twins"])
 
     got = sorted(map_arrow(sample, "doc_id long, label int, own array<int>, twins array<array<int>>", rows).collect(), key=lambda r: (r["doc_id"], r["own"]))
-    return fit(names, [r["own"] for r in got], np.array([r["label"] for r in got], "f8"), [(r["own"], t) for r in got for t in r["twins"]], swap=swap)
+    held, y, pairs = [r["own"] for r in got], np.array([r["label"] for r in got], "f8"), [(r["own"], t) for r in got for t in r["twins"]]
+    return fit(names, held, y, pairs, swap=swap, **chosen(names, held, y, pairs, swap))
 
 
 def _distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
