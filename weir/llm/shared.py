@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="weir-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
