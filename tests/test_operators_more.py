@@ -317,3 +317,22 @@ def test_ingest_over_http(spark, tmp_path):
     app.add_json_input("feed", StreamSchema("pairs").add("t", "llong", INCREASING).add("v", "int"), str(tmp_path / "land"))
     app.add_query("q", "SELECT t, sum(v) AS s FROM feed.pairs GROUP BY t")
     assert rows(app.queries["q"]) == [(1, 7)]
+
+
+def test_texts_count_bytes(spark):
+    from weir.session import Engine
+
+    e = Engine(spark)
+    e.register_table("t", spark.createDataFrame([(1, "héé"), (2, "ab"), (3, ""), (4, "日本")], "k long, s string"), {"k": "uint", "s": "string"})
+    assert {r.k: r.h for r in e.sql("SELECT k, str_truncate(s, 4) AS h FROM t").collect()} == {1: "hé", 2: "ab", 3: "", 4: "日"}
+    assert [r.k for r in e.sql("SELECT k FROM t WHERE str_match_offset[3, 'é', s]").collect()] == [1]
+    assert [r.k for r in e.sql("SELECT k FROM t WHERE byte_match_offset[1, 195, s]").collect()] == [1]
+    assert {r.k: r.h for r in e.sql("SELECT k, str_partial_regex_match(s, 'é$', 3) AS h FROM t").collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_packed_binary_interfaces_are_refused(spark):
+    from weir import types as T
+    from weir.sources.catalog import Interface, read_interface
+
+    with pytest.raises(T.TypeError_, match="Parquet"):
+        read_interface(spark, Interface("g", "GDAT", {"Path": "/nowhere"}), [])

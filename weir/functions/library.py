@@ -115,6 +115,17 @@ def _java(pattern: str) -> str:
     return "(?m)" + pattern
 
 
+def _bytes(s: Column) -> Column:
+    """Positions and lengths in texts count bytes of UTF-8."""
+    return F.encode(s, "UTF-8")
+
+
+def _head(s: Column, n: Column) -> Column:
+    """The first n bytes; a last character that doesn't fit whole is left out, as no text can hold its half."""
+    cut = lambda k: F.try_validate_utf8(F.substring(_bytes(s), F.lit(1), F.greatest(n.cast("int") - k, F.lit(0))).cast("string"))
+    return F.coalesce(*(cut(k) for k in range(4)))
+
+
 def _strtoip(s: Column) -> Column:
     runs = F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1))
     return F.when(F.size(runs) >= 4, sum((F.get(runs, F.lit(k)).try_cast("bigint") * (1 << 8 * (3 - k)) for k in range(4)), F.lit(0).cast("bigint")))
@@ -154,15 +165,15 @@ def default_registry() -> Registry:
     s, p = r.register_scalar, r.register_predicate
     p("str_exists_substr", [T.STRING, T.STRING], lambda a, b: F.contains(a, b))
     p("str_compare", [T.STRING, T.STRING], lambda a, b: a != b)
-    p("str_match_offset", [T.UINT, T.STRING, T.STRING], lambda off, pat, text: F.substring(text, off.cast("int") + 1, F.length(pat)) == pat)
-    p("byte_match_offset", [T.UINT, T.UINT, T.STRING], lambda off, byte, text: F.ascii(F.substring(text, off.cast("int") + 1, F.lit(1))).cast("bigint") == byte.bitwiseAND(F.lit(255)))
+    p("str_match_offset", [T.UINT, T.STRING, T.STRING], lambda off, pat, text: F.substring(_bytes(text), off.cast("int") + 1, F.length(_bytes(pat))) == _bytes(pat))
+    p("byte_match_offset", [T.UINT, T.UINT, T.STRING], lambda off, byte, text: F.hex(F.substring(_bytes(text), off.cast("int") + 1, F.lit(1))) == F.lpad(F.hex(byte.bitwiseAND(F.lit(255))), 2, "0"))
     for name, kinds, pick in (("LLMIN", [T.LLONG], F.least), ("LLMAX", [T.LLONG], F.greatest), ("UMIN", [T.IP, T.UINT], F.least), ("UMAX", [T.IP, T.UINT], F.greatest)):
         for kind in kinds:
             s(name, [kind, kind], kind, pick)
     s("str_regex_match", [T.STRING, T.STRING], T.UINT, lambda a, re: F.when((a != "") & a.rlike(_java(re)), 1).otherwise(0).cast("bigint"), constant=(1,))
-    s("str_partial_regex_match", [T.STRING, T.STRING, T.UINT], T.UINT, lambda a, re, n: F.when((a != "") & F.left(a, n.cast("int")).rlike(_java(re)), 1).otherwise(0).cast("bigint"), constant=(1,))
+    s("str_partial_regex_match", [T.STRING, T.STRING, T.UINT], T.UINT, lambda a, re, n: F.when((a != "") & _head(a, n).rlike(_java(re)), 1).otherwise(0).cast("bigint"), constant=(1,))
     s("str_extract_regex", [T.STRING, T.STRING], T.STRING, lambda a, re: F.regexp_substr(a, F.lit(_java(re))), partial=True, constant=(1,))
-    s("str_truncate", [T.STRING, T.UINT], T.STRING, lambda a, n: F.left(a, n.cast("int")), partial=True)
+    s("str_truncate", [T.STRING, T.UINT], T.STRING, _head, partial=True)
     for kind in (T.INT, T.UINT, T.LLONG, T.ULLONG):
         s("non_temporal", [kind], kind, lambda a: a)
     for kind in (T.UINT, T.ULLONG, T.LLONG, T.INT, T.IP):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,7 @@ _add("fn_regex_partial", "SELECT doc_id, str_partial_regex_match(text, 'of (the|
 _add("fn_extract_regex", "SELECT doc_id, str_extract_regex(text, '[a-z]{9,}') AS word FROM documents", "SELECT doc_id, regexp_extract(text, '[a-z]{9,}') AS word FROM documents WHERE regexp_matches(text, '[a-z]{9,}')")
 _add("fn_truncate", "SELECT p_partkey, str_truncate(p_name, 5) AS head FROM part", "SELECT p_partkey, left(p_name, 5) AS head FROM part")
 _add("fn_match_offset", "SELECT p_partkey FROM part WHERE str_match_offset[6, '#1', p_brand] or str_match_offset[5, '#2', p_brand]", "SELECT p_partkey FROM part WHERE substr(p_brand, 7, 2) = '#1' OR substr(p_brand, 6, 2) = '#2'")
+_add("fn_bytes_of_texts", "SELECT doc_id, lang FROM documents WHERE byte_match_offset[9, 195, text] or str_match_offset[30, 'é', text] or str_match_offset[17, 'en ', text]", "SELECT doc_id, lang FROM (SELECT *, hex(encode(text)) AS b FROM documents) WHERE substr(b, 19, 2) = 'C3' OR substr(b, 61, 4) = 'C3A9' OR substr(b, 35, 6) = '656E20'")
 _add("fn_byte_offset", "SELECT p_partkey FROM part WHERE byte_match_offset[0, 66, p_brand] and byte_match_offset[6, 50, p_brand]", "SELECT p_partkey FROM part WHERE substr(p_brand, 1, 1) = 'B' AND substr(p_brand, 7, 1) = '2'")
 _add("fn_strtoi", "SELECT page_id, strtoi(url) AS n FROM pages", "SELECT page_id, regexp_extract(url, '[0-9]+')::BIGINT AS n FROM pages WHERE regexp_matches(url, '[0-9]+')")
 _add("fn_minmax2", "SELECT l_orderkey, l_linenumber, UMIN(l_partkey, l_suppkey) AS lo, UMAX(l_partkey, l_suppkey) AS hi FROM lineitem", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi FROM lineitem")
@@ -101,18 +103,18 @@ _add("merge2", f"{_THREE} MERGE R.ts_sec : S.ts_sec FROM m1 R, m2 S", f"SELECT {
 _add("merge3_slack", f"{_THREE} MERGE R.ts_sec : S.ts_sec : Q.ts_sec SLACK 5 FROM m1 R, m2 S, m3 Q", f"SELECT {SEC} AS ts_sec, event_id FROM events WHERE event_type IN ('view', 'purchase', 'click')")
 _add("udaf_posavg", "SELECT c_mktsegment, POSAVG(FLOAT(INT(c_nationkey)) - 12.0) AS p FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, coalesce(avg(c_nationkey::DOUBLE - 12.0) FILTER (c_nationkey >= 12), -1.0) AS p FROM customer GROUP BY ALL")
 _add("udaf_extr_avg", "SELECT o_orderpriority, extr_avg(o_custkey) AS m FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, avg(o_custkey) AS m FROM orders GROUP BY ALL")
-_RUN = f"""WITH RECURSIVE p AS (SELECT ({SEC}) // 86400 AS tb, event_type AS g, count(*) AS n, sum(user_id)::BIGINT AS s FROM events WHERE user_id % 40 = 7 GROUP BY ALL),
+_RUN = f"""WITH RECURSIVE p AS (SELECT ({SEC}) // 86400 AS tb, user_id AS g, count(*) AS n, sum(event_id)::BIGINT AS s FROM events GROUP BY ALL),
 e AS (SELECT tb, row_number() OVER (ORDER BY tb) AS i FROM (SELECT DISTINCT tb FROM p)),
 d AS (SELECT p.g, e.i, p.n, p.s FROM p JOIN e USING (tb)),
 f AS (SELECT g, min(i) AS i0 FROM d GROUP BY g),
 w AS (SELECT f.g, e.tb, e.i, coalesce(d.n, 0) AS n, coalesce(d.s, 0) AS s FROM f JOIN e ON e.i >= f.i0 LEFT JOIN d ON d.g = f.g AND d.i = e.i),
 x AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY g ORDER BY i), 1) AS before FROM w),
 """
-_add("running_closing", "SELECT tb, event_type, count(*) AS n, sum(user_id) AS s FROM events WHERE user_id % 40 = 7 GROUP BY ts_sec/86400 AS tb, event_type CLOSING_WHEN count(*) = 0", _RUN + "z AS (SELECT 1) SELECT tb, g AS event_type, n, s FROM x WHERE n > 0 OR before > 0")
-_add("running_forever", "SELECT tb, event_type, count(*) AS n FROM events WHERE user_id % 40 = 7 GROUP BY ts_sec/86400 AS tb, event_type HAVING count(*) < 3 CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS event_type, n FROM x WHERE n < 3")
-_add("moving_sum", "SELECT tb, event_type, moving_sum(user_id, 3) AS m FROM events WHERE user_id % 40 = 7 GROUP BY ts_sec/86400 AS tb, event_type CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS event_type, (sum(s) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS m FROM x")
-_add("moving_sum_exp", "SELECT tb, event_type, moving_sum_exp(user_id, 3, 0.5) AS m FROM events WHERE user_id % 40 = 7 GROUP BY ts_sec/86400 AS tb, event_type CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS event_type, s + 0.5::DOUBLE * coalesce(lag(s) OVER u, 0) + 0.25::DOUBLE * coalesce(lag(s, 2) OVER u, 0) AS m FROM x WINDOW u AS (PARTITION BY g ORDER BY i)")
-_add("sum3", "SELECT tb, event_type, sum3(user_id) AS m FROM events WHERE user_id % 40 = 7 GROUP BY ts_sec/86400 AS tb, event_type CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS event_type, (sum(s) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS m FROM x")
+_add("running_closing", "SELECT tb, user_id, count(*) AS n, sum(event_id) AS s FROM events GROUP BY ts_sec/86400 AS tb, user_id CLOSING_WHEN count(*) = 0", _RUN + "z AS (SELECT 1) SELECT tb, g AS user_id, n, s FROM x WHERE n > 0 OR before > 0")
+_add("running_forever", "SELECT tb, user_id, count(*) AS n FROM events GROUP BY ts_sec/86400 AS tb, user_id HAVING count(*) < 3 CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS user_id, n FROM x WHERE n < 3")
+_add("moving_sum", "SELECT tb, user_id, moving_sum(event_id, 3) AS m FROM events GROUP BY ts_sec/86400 AS tb, user_id CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS user_id, (sum(s) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS m FROM x")
+_add("moving_sum_exp", "SELECT tb, user_id, moving_sum_exp(event_id, 3, 0.5) AS m FROM events GROUP BY ts_sec/86400 AS tb, user_id CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS user_id, s + 0.5::DOUBLE * coalesce(lag(s) OVER u, 0) + 0.25::DOUBLE * coalesce(lag(s, 2) OVER u, 0) AS m FROM x WINDOW u AS (PARTITION BY g ORDER BY i)")
+_add("sum3", "SELECT tb, user_id, sum3(event_id) AS m FROM events GROUP BY ts_sec/86400 AS tb, user_id CLOSING_WHEN count(*) > 100000", _RUN + "z AS (SELECT 1) SELECT tb, g AS user_id, (sum(s) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS m FROM x")
 _add("superagg", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, count$(*) AS all_n, sum$(l_partkey) AS all_s FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber SUPERGROUP l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, l_linenumber::BIGINT AS l_linenumber, count(*) AS n, (sum(count(*)) OVER (PARTITION BY l_returnflag, l_linestatus))::BIGINT AS all_n, (sum(sum(l_partkey)) OVER (PARTITION BY l_returnflag, l_linestatus))::BIGINT AS all_s FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber")
 _add("heavy_hitters", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 20", "SELECT user_id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 20")
 _add("query_chain", "DEFINE { query_name 'big'; } SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 150000.0; DEFINE { query_name 'per_cust'; } SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey; SELECT n, count(*) AS customers FROM per_cust GROUP BY n", "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY ALL) GROUP BY ALL")
@@ -272,12 +274,12 @@ def stream_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Words(Flowlet):
     @process_input()
     def process(self, record):
-        for w in record["text"].split():
+        for w in re.findall(r"[^\x20\x09-\x0D]+", record["text"] or ""):
             self.emit({"word": w})
 
 
 def flow_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.regexp_replace("text", r"[^\x21-\x7E]+", " ").alias("text"))
+    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text")
     words = Flow("wordcount").source("lines", docs).add("split", Words(), 4).connect("lines", "split").build()["split"]["queue"]
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -322,7 +324,7 @@ SELECT tb, event_type, n, s, (sum(s) OVER (PARTITION BY event_type, life ORDER B
     ),
     "stream_merge": (stream_merge, f"WITH t AS (SELECT ({SEC}) // 86400 AS tb FROM events WHERE event_type IN ('view', 'purchase')) SELECT tb, count(*) AS cnt FROM t WHERE tb < (SELECT max(tb) FROM t) - 1 GROUP BY ALL"),
     "stream_filter_sink": (stream_filter_sink, f"SELECT {SEC} AS ts_sec, event_id, user_id FROM events WHERE event_type = 'purchase'"),
-    "flow_wordcount": (flow_wordcount, r"SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[^\x21-\x7E]+', ' ', 'g'), ' ')) AS word FROM conversations) WHERE word <> '' GROUP BY ALL"),
+    "flow_wordcount": (flow_wordcount, r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM conversations) GROUP BY ALL"),
     "flow_projection": (flow_projection, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, NULL::INTEGER AS missing FROM nation"),
     "topk_per_epoch": (topk_per_epoch, f"SELECT tb, user_id, cnt, rank FROM (SELECT *, (row_number() OVER (PARTITION BY tb ORDER BY cnt DESC, user_id))::INTEGER AS rank FROM (SELECT ({SEC}) // 86400 AS tb, user_id, count(*) AS cnt FROM events GROUP BY ALL)) WHERE rank <= 3"),
 }

@@ -68,7 +68,7 @@ class Catalog:
             for node in host.iter("Interface"):
                 properties = {c.tag: c.get("value", "") for c in node}
                 kind = properties.get("InterfaceType", "CSV").upper()
-                self.add_interface(Interface(node.get("Name"), "CSV" if kind.startswith("CSV") else "PARQUET" if kind == "GDAT" else kind, properties, host.get("Name", "localhost")))
+                self.add_interface(Interface(node.get("Name"), "CSV" if kind.startswith("CSV") else kind, properties, host.get("Name", "localhost")))
 
     def add_sets(self, text: str) -> None:
         """name : Contains[Property,Value] and Equals[Property,'value'] or not Exists[Property] ; ..."""
@@ -215,6 +215,8 @@ def read_interface(spark: SparkSession, i: Interface, fields: list[S.Field], sys
         df = reader.schema(plain.schema).parquet(path) if streaming else plain
         names = df.columns
         typed = {f.name: F.col(f"`{f.name if f.name in names else names[positions[f.name] - 1]}`").cast(T.SPARK[T.named(f.kind)]) for f in fields if f.access.lower() != "get_system_time"}
+    elif i.kind == "GDAT":
+        raise T.TypeError_(f"interface {i.name}: packed binary streams are not read; write them as Parquet and declare PARQUET")
     else:
         raise T.TypeError_(f"interface kind {i.kind}")
     now = F.lit(system_time).cast("bigint") if system_time is not None else F.unix_timestamp(F.current_timestamp())
