@@ -73,3 +73,19 @@ def test_classes_without_their_original(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for rare in (3, jaccard.RARE):
         assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, rare=rare).collect()} == plain_components(texts)
+
+
+def test_lists_are_not_broadcast(spark, monkeypatch):
+    """Rows of an explode look few to Spark: lists of keys and of shingles came to the driver, which failed on large tables."""
+    plans, write = {}, jaccard.written
+
+    def spy(df, what):
+        plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    base = [f"w{k}" for k in range(100)]
+    df = spark.createDataFrame([(d, " ".join([*base[: 40 + d], *(f"x{d}.{k}" for k in range(d % 7))])) for d in range(60)], "doc_id long, text string")
+    jaccard.near_duplicates(df).collect()
+    for what in ("lists", "few"):
+        assert "SortMergeJoin [" + {"lists": "key", "few": "shingle"}[what] in plans[what]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.shared import map_arrow, written
+from weir.llm.shared import map_arrow, never_broadcast, written
 from weir.llm.simhash import SEED, classes, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -91,7 +91,7 @@ def _rest(mixed: DataFrame, sets: DataFrame, similarity: float, rare: int) -> Da
     nodes = mixed.select("node", "size", "label").distinct()
     each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     holders = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    few = written(each.join(holders.where(F.col("n").between(2, rare)).select("shingle"), "shingle"), "few")
+    few = written(each.join(never_broadcast(holders.where(F.col("n").between(2, rare)).select("shingle")), "shingle"), "few")
     gone = holders.where("n = 1").select("node").unionByName(few.select("node")).groupBy("node").agg(F.count("*").alias("gone"))
     some = few.groupBy("node").agg(F.count("*").alias("few"))
     counted = nodes.join(gone, "node", "left").join(some, "node", "left").select("node", "size", "label", (F.col("size") - F.coalesce("gone", F.lit(0))).alias("often"), F.coalesce("few", F.lit(0)).alias("few"))
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     least = written(prints.groupBy("own").agg(F.min("doc_id").alias("node")), "sets")
     index = prints.join(least.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", F.explode("bands").alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = written(index.join(sizes, "key"), "lists")
+    lists = written(index.join(never_broadcast(sizes), "key"), "lists")
     met = written(lists.groupBy("node", "size").agg(F.sum("n").alias("met")), "met")  # only these texts are shuffled
     sets = _sets(docs, met.select("node"), shingle)
     lists = written(lists.join(met.select("node", "met"), "node"), "lists")

@@ -47,6 +47,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """df, whose join is by sorting on both sides: Spark takes rows that an explode makes for as few as those they are made of.
+
+    So lists of millions of keys pass for a few MB, and the driver would collect them to broadcast them.
+    """
+    return df.hint("merge")
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI for work inside executors: a mounted folder, or a store that pyarrow reaches."""
     from pyarrow import fs
