@@ -516,3 +516,16 @@ def test_inheritance_of_the_query_over_a_tree(spark, tmp_path):
     got = {r.doc_id: (r.license, r.inherited_from) for r in queries.op5_license_scan(spark, str(tmp_path)).collect()}
     isc = ("ISC", "web/en")
     assert got == {0: ("MIT", None), 7: isc, 1000: ("ISC", None), 1100: ("CC-BY-4.0", None), 1101: ("CC-BY-4.0", "web/en/11"), 1201: isc, 1202: ("MIT", "web"), 1203: (None, None), 1204: ("Zlib", None), 1205: (None, None), None: isc}
+
+
+def test_simhash_lists_are_not_broadcast(spark, monkeypatch):
+    """A fingerprint's 56 entries look like one row to Spark: the keys that meet came to the driver, which failed on large tables."""
+    plans, write = {}, simhash.written
+
+    def spy(df, what):
+        plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(simhash, "written", spy)
+    simhash.near_duplicates(frame(spark, [(d, f"words of text {d}") for d in range(20)])).collect()
+    assert "SortMergeJoin [key" in plans["lists"] and "Broadcast" not in plans["lists"]
