@@ -89,3 +89,25 @@ def test_lists_are_not_broadcast(spark, monkeypatch):
     jaccard.near_duplicates(df).collect()
     for what in ("lists", "few"):
         assert "SortMergeJoin [" + {"lists": "key", "few": "shingle"}[what] in plans[what]
+
+
+def test_simhash_step_links_fingerprints(spark):
+    """The stage's SimHash step joins all within two bits of one another, and those of one fingerprint."""
+    rng = random.Random(9)
+    fps = {d: rng.getrandbits(64) for d in range(40)}
+    for d in range(40, 120):
+        fps[d] = fps[rng.randrange(d)] ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4)))
+    pairs = jaccard._meetings(spark.createDataFrame([(d, jaccard.signed(f)) for d, f in fps.items()], "node long, fp long"))
+    label = {r.node: r.label for r in jaccard.classes(pairs).collect()}
+    for a in fps:
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                assert label[a] == label[b]
+    assert all((fps[r.u] ^ fps[r.v]).bit_count() <= 2 for r in pairs.collect())
+
+
+def test_stage_runs_the_simhash_step(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard, "links", lambda fps, find=jaccard.links: seen.append(fps) or find(fps))
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40))), (2, "other words")], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, df, "").count() == 2 and seen[0].count() == 2

@@ -1,7 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, the shingles themselves decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and MinHash bands find pairs, the shingles themselves decide.
 
-A 64-bit SimHash can't be the index here: texts at similarity 0.8 differ in some 10 of its bits, and blocks of bits long
-enough to be rare are then seldom whole. A band is ROWS minima; a pair at similarity 0.8 misses all BANDS with
+SimHash fingerprints of the sets of shingles go through the byte-position index of `simhash`, with its count filter, and
+what it links within two bits is compared. Alone it can't be the index here: texts at similarity 0.8 differ in some 10 of
+64 bits, and blocks of bits long enough to be rare are then seldom whole. So bands find the rest. A band is ROWS minima; a pair at similarity 0.8 misses all BANDS with
 probability (1 - 0.8 ** 5) ** 40 = 1.3e-7, and one below 0.8 is refused by its shingles.
 
 Work is on distinct sets of shingles. Every list of equal bands first links its members to one of them, the one that
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.shared import map_arrow, never_broadcast, written
-from weir.llm.simhash import SEED, classes, signed
+from weir.llm.simhash import SEED, classes, links, majority, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Ids (8 bytes each) that may be broadcast.
@@ -52,14 +53,24 @@ def bands(own: np.ndarray) -> list[int]:
 
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, own (a digest of the set of shingles), size, bands."""
+    """doc_id, own (a digest of the set of shingles), size, fp (the set's SimHash as a signed long), bands."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
         own = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), own, pa.array(map(len, sets), pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "own", "size", "bands"])
+        sizes, fps = pa.array(map(len, sets), pa.int64()), pa.array([signed(majority(s)) for s in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), own, sizes, fps, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "own", "size", "fp", "bands"])
 
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, own binary, size long, bands array<long>", rows)
+    return map_arrow(docs.select("doc_id", "text"), "doc_id long, own binary, size long, fp long, bands array<long>", rows)
+
+
+def _meetings(least: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes that SimHash links: those of one fingerprint with its first, and firsts within two bits."""
+    firsts = written(least.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    same = least.join(firsts, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    u, v = (firsts.select(F.col("fp").alias(n), F.col("first").alias(f"{n}_first")) for n in "uv")
+    near = links(firsts.select("fp")).join(u, "u").join(v, "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    return written(same.unionByName(near), "meetings")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -120,18 +131,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     doc_id: distinct longs, none null. Texts without words are one class.
     """
     prints = written(_prints(docs, shingle), "prints")
-    least = written(prints.groupBy("own").agg(F.min("doc_id").alias("node")), "sets")
+    least = written(prints.groupBy("own").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "sets")
+    meetings = _meetings(least.select("node", "fp"))
     index = prints.join(least.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", F.explode("bands").alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = written(index.join(never_broadcast(sizes), "key"), "lists")
-    met = written(lists.groupBy("node", "size").agg(F.sum("n").alias("met")), "met")  # only these texts are shuffled
-    sets = _sets(docs, met.select("node"), shingle)
+    met = written(lists.groupBy("node", "size").agg(F.sum("n").alias("met")), "met")  # only these texts, and those of meetings, are shuffled
+    ids = met.select("node").unionByName(meetings.select(F.col("u").alias("node"))).unionByName(meetings.select(F.col("v").alias("node")))
+    sets = _sets(docs, written(ids.distinct(), "ids"), shingle)
     lists = written(lists.join(met.select("node", "met"), "node"), "lists")
     pivot = lists.groupBy("key").agg(F.max(F.struct("met", "node", "size")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"))
     lists = written(lists.join(pivot, "key"), "lists")
     could = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     stars = lists.where((F.col("node") != F.col("pivot")) & could("size", "pivot_size")).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    edges = written(_verified(stars, sets, similarity), "stars")
+    edges = written(_verified(stars.unionByName(meetings).distinct(), sets, similarity), "stars")
     labels = classes(edges)
     # lists in which several classes still meet; a pivot has been compared with all of its list
     named = lists.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

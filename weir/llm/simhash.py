@@ -38,6 +38,14 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of hashes: bit set where over half of them have it."""
+    ones = np.zeros(64, "i8")
+    for at in range(0, len(hashes), 16384):
+        ones += np.unpackbits(hashes[at : at + 16384].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The unsigned fingerprint of a text: bit set where over half of the shingles' XXH64 have it; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -47,11 +55,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         hashes = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))]
-    ones = np.zeros(64, "i8")
-    for at in range(0, len(hashes), 16384):
-        part = np.array(hashes[at : at + 16384], "<u8")
-        ones += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, "<u8"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
