@@ -147,3 +147,22 @@ def test_queries_match_whole_text_encoding(spark, sf):
     packed = queries.op8_best_fit_packing(spark, sf).collect()
     tokens_all = sum(r.length for r in packed)
     assert len({r.sequence_id for r in packed}) <= 1.02 * tokens_all / 2048 + 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_before_marks_are_encoded_once(name):
+    """A known word with marks after it isn't tokenised again; at the beginning of a text or line its ids are others."""
+    spec = tokens.read_spec(tokens.default_path(name))
+    own = tokens.Encoder(spec)
+    seen, model = [], own.model
+
+    class Counted:
+        def tokenize(self, word):
+            seen.append(word)
+            return model.tokenize(word)
+
+    own.model = Counted()
+    texts = ["an otherwise unseenword here", "an unseenword, unseenword. unseenword; unseenword!?", "unseenword, it\nunseenword, caf\u00e9 caf\u00e9!"]
+    got = [b"".join(own.encode([t])) for t in texts]
+    assert got == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum(w.lstrip("\u0120") == "unseenword" and (w != "unseenword" or own.kind != "spaced") for w in seen) == 1

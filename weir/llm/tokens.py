@@ -93,9 +93,10 @@ class Encoder:
             if not plain(core) or line and not spaced:
                 rest.append(w)
                 continue
-            spelt = core if core.isascii() else core.translate(_SPELLING) if spaced else core.lower().translate(_SPELLING)
+            known = self.words.get(core) or self.older.get(core) or out.get(core) if tail and not line and (lead or not spaced) else None
+            spelt = "" if known else core if core.isascii() else core.translate(_SPELLING) if spaced else core.lower().translate(_SPELLING)
             spelt = (spelt if line or not lead else "\u0120" + spelt) if spaced else spelt.lower() if core.isascii() else spelt
-            ids = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+            ids = known or array("I", [t.id for t in tokenize(spelt)]).tobytes()
             if tail:
                 if tail not in marks:
                     marks[tail] = self._encode([tail])[0]
