@@ -1,5 +1,6 @@
 """Token files and packing against whole-text encoding and brute force."""
 
+import sys
 import zlib
 from collections import Counter
 
@@ -166,3 +167,31 @@ def test_words_before_marks_are_encoded_once(name):
     got = [b"".join(own.encode([t])) for t in texts]
     assert got == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert sum(w.lstrip("\u0120") == "unseenword" and (w != "unseenword" or own.kind != "spaced") for w in seen) == 1
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_remembered_words_are_bounded_in_bytes(path, monkeypatch):
+    """Long words count by their size, and long beginnings of texts and long runs of marks aren't kept; ids stay the same."""
+    bound = 200_000
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", bound, raising=False)
+    plain, own = Tokenizer.from_file(path), tokens.Encoder(tokens.read_spec(path))
+    most, fits = 0, []
+    for n in range(40):
+        word = "".join(chr(97 + (n * 7 + k * k) % 26) for k in range(4000))
+        texts = [f"{word}first{n} short{n} b{word}{n} c{word}, end{'.' * (200 + n)}", f"{word}second{n}"]
+        got = own.encode(texts)
+        if n % 8 == 0:
+            assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        most = max(most, sum(sys.getsizeof(x) for d in (own.words, own.older, own.firsts, own.marks) for pair in d.items() for x in pair))
+        fits.append(len(own.words))
+    assert most < 2 * bound + 200_000  # two generations, and a batch of texts
+    assert max(fits) > 4  # and yet words are remembered
+
+
+def test_reading_back_starts_no_workers_for_rows(spark, tmp_path):
+    """The list of shards comes from Arrow, not from a Python RDD, whose workers would stay beside the encoding ones."""
+    folder = scratch(spark, "t")
+    token_files.write(docs_of(spark, [(i, f"text {i}", "", 0) for i in range(20)]), folder, BYTES)
+    out = token_files.read(spark, folder)
+    assert "PythonRDD" not in out._jdf.queryExecution().toRdd().toDebugString()
+    assert sorted(r.doc_id for r in out.collect()) == list(range(20))

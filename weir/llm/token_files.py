@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import tokens
-from weir.llm.shared import open_fs, small_batches
+from weir.llm.shared import open_fs, settle, small_batches
 
 SHARD = "shard long, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -61,6 +61,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> list
                     for d in some.column(0).to_pylist():
                         ids.append(d or 0)
                         nulls.append(d is None)
+        settle()
         if not ids:
             fs.delete_file(f"{part}.ids")
             return
@@ -140,5 +141,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     none = None if nul is None else np.array(nul[at : at + 4096]).astype(bool)
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(doc[at : at + 4096]), pa.int64(), mask=none), pa.array(ends[:-1] + first), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    listed = spark.createDataFrame([(s["shard"], s["base"]) for s in shards], "shard long, base long")
+    # as an Arrow table: rows would go through Python workers of another kind, which live on beside those that have encoded
+    listed = spark.createDataFrame(pa.table({k: pa.array([s[k] for s in shards], pa.int64()) for k in ("shard", "base")}))
     return listed.repartition(len(shards)).mapInArrow(rows, ROWS)

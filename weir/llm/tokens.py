@@ -15,8 +15,12 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words remembered by a Python worker (two generations of this many, about 200 bytes each).
-MEMORY = 800_000
+#: Words remembered by a Python worker: two generations of this many, and of this many bytes as Python holds them, at most.
+MEMORY, MEMORY_BYTES = 800_000, 72 << 20
+#: A dictionary's own bytes for a word, with what is lost to rounding.
+_ENTRY = 64
+#: Longer beginnings of texts, and longer runs of marks, aren't remembered.
+SHORT = 64
 #: Three white-space characters together, or two at the end: the only runs that are not cut into single ones.
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 _PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -71,6 +75,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of `words`
         self.marks: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.line = self._encode(["\n"])[0]
@@ -98,25 +103,28 @@ class Encoder:
             spelt = (spelt if line or not lead else "\u0120" + spelt) if spaced else spelt.lower() if core.isascii() else spelt
             ids = known or array("I", [t.id for t in tokenize(spelt)]).tobytes()
             if tail:
-                if tail not in marks:
-                    marks[tail] = self._encode([tail])[0]
-                ids += marks[tail]
+                end = marks.get(tail) or self._encode([tail])[0]
+                if len(tail) <= SHORT:
+                    marks[tail] = end
+                ids += end
             out[w] = self.line + ids if line else ids
         if rest:
             out.update(zip(rest, self._encode([w if w[:1] == "\n" else lead + w for w in rest]), strict=True))
         return out
 
     def _learn(self, missing: list[str], lead: str) -> None:
-        if len(self.words) > self.memory:
-            self.older, self.words = self.words, {}
-        new = []
+        if len(self.words) > self.memory or self.held > MEMORY_BYTES:
+            self.older, self.words, self.held = self.words, {}, 0
+        new, got = [], {}
         for w in dict.fromkeys(missing):
-            got = self.older.get(w)
-            if got is None:
+            ids = self.older.get(w)
+            if ids is None:
                 new.append(w)
             else:
-                self.words[w] = got
-        self.words.update(self._new(new, lead))
+                got[w] = ids
+        got.update(self._new(new, lead))
+        self.words.update(got)
+        self.held += len(got) * _ENTRY + sum(map(sys.getsizeof, got)) + sum(map(sys.getsizeof, got.values()))
 
     def _first(self, word: str) -> bytes:
         """The ids of a word that begins a text."""
@@ -124,7 +132,9 @@ class Encoder:
         if ids is None:
             if len(self.firsts) > 50_000:
                 self.firsts.clear()
-            ids = self.firsts[word] = self._new([word], "")[word]
+            ids = self._new([word], "")[word]
+            if len(word) <= SHORT:
+                self.firsts[word] = ids
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
