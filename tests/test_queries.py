@@ -41,6 +41,17 @@ def test_query(spark, sf, duck, name):
     assert {d[0]: str(d[1]) for d in found.description} == {c: kinds[k] for c, k in df.dtypes}
 
 
+@pytest.mark.parametrize(("name", "table", "columns"), [("fn_regex_partial", "documents", "doc_id bigint, text string, lang string, source string"), ("fn_truncate", "part", "p_partkey bigint, p_name string, p_size int")])
+def test_beginnings_of_texts_count_characters(spark, tmp_path, name, table, columns):
+    """The match ends at the 200th character, which is the 202nd byte, or at the 201st; the fifth character is not the fifth byte."""
+    odd = ["é" * 2 + "x" * 192 + "of the", "é" * 2 + "x" * 193 + "of the", "日本" + "of and", "", "y" * 300, "éàüöç"]
+    spark.createDataFrame([(i, t, "fr", "s") if table == "documents" else (i, t, 1) for i, t in enumerate(odd)], columns).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    assert got == sorted(c.execute(SQL[name]).fetchall()) and len(got) == len(odd)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0

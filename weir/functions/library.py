@@ -160,8 +160,10 @@ def moving(values: Column, n: int, alpha: float = 1.0) -> Column:
     return F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v)
 
 
-def default_registry() -> Registry:
+def default_registry(characters: bool = False) -> Registry:
+    """The language's functions. characters: lengths of beginnings of texts count characters, as SQL's, instead of bytes."""
     r = Registry()
+    head = (lambda s, n: F.substring(s, F.lit(1), F.greatest(n.cast("int"), F.lit(0)))) if characters else _head
     s, p = r.register_scalar, r.register_predicate
     p("str_exists_substr", [T.STRING, T.STRING], lambda a, b: F.contains(a, b))
     p("str_compare", [T.STRING, T.STRING], lambda a, b: a != b)
@@ -171,9 +173,9 @@ def default_registry() -> Registry:
         for kind in kinds:
             s(name, [kind, kind], kind, pick)
     s("str_regex_match", [T.STRING, T.STRING], T.UINT, lambda a, re: F.when((a != "") & a.rlike(_java(re)), 1).otherwise(0).cast("bigint"), constant=(1,))
-    s("str_partial_regex_match", [T.STRING, T.STRING, T.UINT], T.UINT, lambda a, re, n: F.when((a != "") & _head(a, n).rlike(_java(re)), 1).otherwise(0).cast("bigint"), constant=(1,))
+    s("str_partial_regex_match", [T.STRING, T.STRING, T.UINT], T.UINT, lambda a, re, n: F.when((a != "") & head(a, n).rlike(_java(re)), 1).otherwise(0).cast("bigint"), constant=(1,))
     s("str_extract_regex", [T.STRING, T.STRING], T.STRING, lambda a, re: F.regexp_substr(a, F.lit(_java(re))), partial=True, constant=(1,))
-    s("str_truncate", [T.STRING, T.UINT], T.STRING, _head, partial=True)
+    s("str_truncate", [T.STRING, T.UINT], T.STRING, head, partial=True)
     for kind in (T.INT, T.UINT, T.LLONG, T.ULLONG):
         s("non_temporal", [kind], kind, lambda a: a)
     for kind in (T.UINT, T.ULLONG, T.LLONG, T.INT, T.IP):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir import types as T
+from weir.functions.library import default_registry
 from weir.plans.lower import Stream
 from weir.session import Engine
 from weir.streaming.flow import Flow, Flowlet, output, process_input, projected
@@ -31,8 +32,8 @@ def _seconds(events: DataFrame):
 
 
 def engine(spark: SparkSession, sf_dir: str, **settings) -> Engine:
-    """All tables as streams, read when a query names them; events with ts_sec, whole seconds, increasing."""
-    e = Engine(spark, **settings)
+    """All tables as streams, read when a query names them; events with ts_sec, whole seconds, increasing. Beginnings of texts count characters, as in the queries' SQL."""
+    e = Engine(spark, default_registry(characters=True), **settings)
 
     def add(name: str, columns: list[str] | None = None, kinds: dict[str, str] | None = None, increasing=()) -> None:
         def load() -> Stream:
