@@ -336,3 +336,41 @@ def test_packed_binary_interfaces_are_refused(spark):
 
     with pytest.raises(T.TypeError_, match="Parquet"):
         read_interface(spark, Interface("g", "GDAT", {"Path": "/nowhere"}), [])
+
+
+FLOWS = "SELECT tb, k, count(*) AS n, max(t) AS last FROM s WHERE flow_ssample(5) = 1 GROUP BY t/600 AS tb, k SUPERGROUP tb, tb HAVING flow_ssfinal_clean(0, 40, max(t), count(*)) = 1 CLEANING_WHEN flow_ssdo_clean(max(t)) = 1 CLEANING_BY flow_ssclean_with(0, 40, max(t), count(*)) = 1"
+
+
+
+def _flows(monkeypatch, rows, plain):
+    """What FLOWS reports of rows (t, k) of one window, and how often a flow was judged; plain: every cleaning asks all groups."""
+    from weir.functions.library import default_registry
+    from weir.operators import sampling
+    from weir.plans import syntax as S
+    from weir.plans.lower import conjuncts
+
+    (q,), registry, judged, flow = S.parse(FLOWS), default_registry(), [], sampling.FlowSampling._flow
+    for s in sampling.STATES:
+        registry.register_state(s)
+    aggregates = [S.Call(e.name, e.args, e.star) for e, _ in q.select[2:]]
+    with monkeypatch.context() as m:
+        m.setattr(sampling.FlowSampling, "_flow", lambda self, *a: judged.append(1) or flow(self, *a))
+        if plain:
+            m.setattr(sampling.Program, "_waits", lambda self: None)
+        program = sampling.Program(q, registry, {}, aggregates, conjuncts(q.where), ["tb", "k"], [None, "v_2"], ["k_tb", "k_k", "v_2"])
+        machine = sampling.Machine(program)
+        for at in range(0, len(rows), 700):
+            program.takes(machine, [[0] * len(rows[at : at + 700]), [k for _, k in rows[at : at + 700]], [t for t, _ in rows[at : at + 700]]])
+            machine = sampling.Machine(program).restore(machine.saved())
+        return list(machine.report()), len(judged)
+
+
+def test_flows_that_are_open_are_not_judged_again_by_every_row(monkeypatch):
+    import random
+
+    pick = random.Random(5)
+    rows = [(k // 20, pick.randrange(1, 1 + 300 * (1 + k // 2000))) for k in range(8_000)]
+    got, judged = _flows(monkeypatch, rows, False)
+    want, asked = _flows(monkeypatch, rows, True)
+    assert got == want and len(got) > 10
+    assert judged < 4 * len(rows) < 100 * len(rows) < asked
