@@ -374,3 +374,45 @@ def test_flows_that_are_open_are_not_judged_again_by_every_row(monkeypatch):
     want, asked = _flows(monkeypatch, rows, True)
     assert got == want and len(got) > 10
     assert judged < 4 * len(rows) < 100 * len(rows) < asked
+
+
+def test_one_stream_is_sorted_in_parallel_and_its_task_gets_batches(spark):
+    """Only packed batches go to the one task that follows the threshold, not the sorted table with all its columns."""
+    import random
+
+    from weir.session import Engine
+
+    pick = random.Random(3)
+    rows = [(k, pick.randrange(1, 900), pick.randrange(40), "x" * 20) for k in range(3_000)]
+    e = Engine(spark)
+    e.register_table("s", spark.createDataFrame(rows, "t long, v long, k long, pad string").repartition(7), {"t": "uint", "v": "uint", "k": "uint"}, ["t"])
+    df = e.sql("SELECT tb, k, sum(v) AS w, ssthreshold() AS z FROM s WHERE ssample(v, 7) = 1 GROUP BY t/500 AS tb, k SUPERGROUP tb, tb HAVING ssfinal_clean(sum(v)) = 1 CLEANING_WHEN ssdo_clean() = 1 CLEANING_BY ssclean_with(sum(v)) = 1")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    single = plan.split("Repartition 1, true")[1]
+    assert "pad" in single and "MapInArrow" in single.split("\n")[1] and "RepartitionByExpression" in single
+    assert [tuple(r) for r in df.collect()] == _plain_smart(rows, 500, 7)
+
+
+def _plain_smart(rows, width, size):
+    """The same sampling, row by row."""
+    from weir.operators.sampling import SmartSampling
+
+    out, state, groups, at = [], None, {}, None
+
+    def report():
+        state.begin_final(len(groups))
+        out.extend((at, k, w, float(state.z)) for k, w in list(groups.items()) if state.ssfinal_clean(len(groups), w) == 1)
+
+    for t, v, k, _ in sorted(rows):
+        if t // width != at:
+            if state:
+                report()
+            state, groups, at = SmartSampling(state), {}, t // width
+        if state.ssample(len(groups), v, size) == 1:
+            groups[k] = groups.get(k, 0) + v
+            if state.ssdo_clean(len(groups)) == 1:
+                for g in list(groups):
+                    if state.ssclean_with(len(groups), groups[g]) != 1:
+                        del groups[g]
+    report()
+    return out
