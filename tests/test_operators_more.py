@@ -416,3 +416,24 @@ def _plain_smart(rows, width, size):
                         del groups[g]
     report()
     return out
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_a_micro_batch_is_sorted_in_runs(monkeypatch, ties):
+    """No more rows are held than a few runs' chunks, however the rows come; equal times stay together."""
+    import numpy as np
+    import pandas as pd
+    from weir.operators import sampling
+
+    for name, n in (("_HELD", 100), ("_CHUNK", 5), ("_MERGED", 50)):
+        monkeypatch.setattr(sampling, name, n)
+    r = np.random.default_rng(2)
+    t = r.integers(0, 50 if ties else 100_000, 3_000)
+    rows = pd.DataFrame({"k_tb": t // 1000, "o_0": t, "o_1": [None if x % 7 == 0 else f"p{x}" for x in r.integers(0, 999, 3_000)], "v": range(3_000)})
+    for order in (rows, rows.sort_values("o_0"), rows.sort_values("o_0", ascending=False)):
+        by = ["k_tb", "o_0", "o_1"]
+        got = list(sampling._sorted((order.iloc[k : k + 37] for k in range(0, 3_000, 37)), by, [True] * 3, by[:2]))
+        want = order.sort_values(by)
+        assert pd.concat(got)[by].reset_index(drop=True).equals(want[by].reset_index(drop=True))
+        assert sorted(x for g in got for x in g["v"]) == list(range(3_000))
+        assert max(map(len, got)) < 600
