@@ -2,6 +2,7 @@
 
 import os
 import random
+from pathlib import Path
 
 import pytest
 
@@ -76,3 +77,17 @@ def test_what_a_stream_cannot_run(feeds):
     for text in ("SELECT k, count(*) AS n FROM s GROUP BY k", "SELECT tb, POSAVG(FLOAT(v)) AS p FROM s GROUP BY t AS tb CLOSING_WHEN count(*) = 0", "SELECT A.t INNER_JOIN FROM s A, s B WHERE A.k = B.k"):
         with pytest.raises(T.TypeError_):
             feeds["stream"].sql(text)
+
+
+def test_pairs_of_an_epoch_take_little_room(spark, tmp_path):
+    """All pairs of an hour repeat two lists: what is written doesn't grow with their number. The session's settings stay."""
+    from weir import queries
+
+    rows = [(k * 7919 % 1_000_003, 1_700_000_000 - 1_700_000_000 % 3600 + k % 3600, 1, "purchase" if k % 2 == 0 else "view") for k in range(2_800)]
+    spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    df = queries.queries()["stream_join"](spark, str(tmp_path))
+    n = [sum(r[3] == kind for r in rows) for kind in ("purchase", "view")]
+    assert df.count() == n[0] * n[1] == 1_960_000
+    size = sum(f.stat().st_size for f in map(Path, {x.removeprefix("file://") for x in df.inputFiles()}))
+    assert size < 100_000
+    assert spark.conf.get("parquet.page.size", None) is None
