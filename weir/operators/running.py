@@ -128,7 +128,7 @@ def _resting(name: str, kind: str):
 
 
 def _live(lowering, q: S.Query, s, scope, df, items, keys, epoch, own, built, rolling):
-    from weir.operators.sampling import Machine, _start
+    from weir.operators.sampling import Machine, Program, _start
 
     if len(epoch) != 1 or keys[epoch[0]].moves != T.INCREASING or keys[epoch[0]].kind not in T.INTEGERS:
         raise T.TypeError_("over a stream, CLOSING_WHEN needs one increasing integer in GROUP BY")
@@ -162,7 +162,8 @@ def _live(lowering, q: S.Query, s, scope, df, items, keys, epoch, own, built, ro
     calls, registry, closing, inputs = list(built), lowering.registry, q.closing_when, list(columns)
 
     def live(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        machine = Machine(q, registry, {}, calls, None)
+        program = Program.bare(registry, calls, own)
+        machine, closes = Machine(program), program.asks(closing)
         # open epochs' panes, the last epoch that ended, whether the group lives, kept panes of what runs
         opened, last, alive, kept = cloudpickle.loads(bytes(state.get[0])) if state.exists else ({}, None, False, {i: [] for i in spans})
         if not state.hasTimedOut:
@@ -171,7 +172,7 @@ def _live(lowering, q: S.Query, s, scope, df, items, keys, epoch, own, built, ro
                     held = opened.setdefault(int(e), [_start(n) for n, _ in folds])
                     for i, (n, _) in enumerate(folds):
                         held[i] = _fold(n, held[i], part[f"_v{i}"].tolist() if f"_v{i}" in inputs else part["_e"].tolist())
-        limit, done, group = state.getCurrentWatermarkMs() // 1000, [], dict(zip(own, key, strict=False))
+        limit, done = state.getCurrentWatermarkMs() // 1000, []
         while alive or opened:
             e = last + 1 if alive else min(opened)
             if e > limit:
@@ -186,7 +187,7 @@ def _live(lowering, q: S.Query, s, scope, df, items, keys, epoch, own, built, ro
                     v = held[i][0] / held[i][1] if n == "avg" else held[i]
                     values.append(bool(v) if kinds[i] == T.BOOL else Decimal(v) if kinds[i] == T.ULLONG else v)
             done.append((e, *(key if names else ()), *values))
-            last, alive = e, not machine.eval(closing, None, group, held)
+            last, alive = e, not closes(machine, key, held)
             if not alive:
                 kept = {i: [] for i in spans}
         if alive or opened:

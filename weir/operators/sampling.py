@@ -235,12 +235,22 @@ class Program:
         self.inputs = [None if c is None else columns.index(c) for c in inputs]
         self.make = {n: s.make for n, s in {s.name: s for s in registry.states.values()}.items()}
         self.fresh = [_start(a.name.lower()) for a in aggregates]
-        asks = lambda e: eval(f"lambda m, K, h: {self.text(e, False, True)}", {"over": _over}) if e is not None else None  # noqa: E731, S307
-        self.stays, self.told = asks(query.cleaning_by), asks(query.having)
-        self.gives = [asks(e) for e, _ in query.select]
+        self.stays, self.told = self.asks(query.cleaning_by), self.asks(query.having)
+        self.gives = [self.asks(e) for e, _ in query.select]
         self.skips, self.waits = self._skips(), self._waits()
         self.takes = self._takes()
 
+    @classmethod
+    def bare(cls, registry, aggregates: list, names: list[str]) -> Program:
+        """One without a query, for asks()."""
+        p = cls.__new__(cls)
+        p.registry, p.leaves, p.aggregates, p.names, p.make, p.waits = registry, {}, aggregates, names, {}, None
+        return p
+
+    def asks(self, e):
+        """An expression over a group as a function of the machine, its key and what is held."""
+        return eval(f"lambda m, K, h: {self.text(e, False, True)}", {"over": _over}) if e is not None else None  # noqa: S307
+
     def text(self, e, row: bool, group: bool) -> str:
         """The Python text of an expression over a row, a group or both."""
         if row and e in self.leaves:
